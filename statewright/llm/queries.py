@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontam, exact_lsm, pack_ss, shard_kk, sstable
+from . import common, decontam, exact_lsm, pack_ss, para_minhash, pii, secrets, shard_kk, simhash, sstable, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -31,11 +31,31 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_ss.pack(common.table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return para_minhash.passages(common.table(spark, sf_dir, "documents"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(common.table(spark, sf_dir, "documents"))
+
+
 def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     return sstable.read(sstable.write(docs, vocabulary("byte_bpe_50k.json")), docs.schema["doc_id"].dataType)
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(common.table(spark, sf_dir, "documents"))
+
+
 OP2_SQL = r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS len,
