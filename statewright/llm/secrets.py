@@ -42,20 +42,24 @@ def _part(kind: int, pattern: str, group: int) -> Column:
 
 
 def _spans(docs: DataFrame) -> DataFrame:
-    """row, doc_id, kind, start, end, value: every match, and one row without a kind for each document."""
+    """row, doc_id, kind, start, end, value: every match, and one row without a kind for each document.
+
+    One pass gives both, so a document's number is the same in all its rows.
+    """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
-    parts = F.array(_part(0, ASSIGN, 1), _part(1, ACCESS, 0), _part(2, HEX, 0), _part(3, CANDIDATE, 0))
-    found = rows.select("row", "doc_id", F.explode_outer(F.filter(parts, lambda p: p.isNotNull())).alias("p"))
+    nothing = F.array().cast("array<string>")
+    mark = F.struct(F.lit(-1).alias("kind"), nothing.alias("gaps"), nothing.alias("matches"), nothing.alias("values"))
+    parts = F.array(mark, _part(0, ASSIGN, 1), _part(1, ACCESS, 0), _part(2, HEX, 0), _part(3, CANDIDATE, 0))
+    found = rows.select("row", "doc_id", F.explode(F.filter(parts, lambda p: p.isNotNull())).alias("p"))
     each = found.select("row", "doc_id", "p.kind", F.posexplode_outer(F.arrays_zip("p.gaps", "p.matches", "p.values")).alias("i", "m"))
     each = each.select("row", "doc_id", "kind", "i", F.char_length("m.gaps").alias("gap"), F.col("m.matches").alias("match"), F.col("m.values").alias("value"))
     long = F.coalesce(F.char_length("match"), F.lit(0))
     before = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = each.withColumn("end", F.when(F.col("kind").isNotNull(), F.sum(F.col("gap") + long).over(before)).cast("long"))
+    placed = each.withColumn("end", F.sum(F.col("gap") + long).over(before).cast("long"))
     placed = placed.withColumn("start", F.col("end") - long)
     holds = F.when(F.col("kind") == 0, F.char_length("value") >= 6).when(F.col("kind") == 3, F.col("value").rlike("[0-9]")).otherwise(True)
-    kept = placed.where(F.col("kind").isNull() | (F.col("match").isNotNull() & holds)).select("row", "doc_id", "kind", "start", "end", "value")
-    marks = rows.select("row", "doc_id", F.lit(None).cast("int").alias("kind"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), F.lit(None).cast("string").alias("value"))
-    return kept.where("kind is not null").unionByName(marks)
+    kept = placed.where((F.col("kind") < 0) | (F.col("match").isNotNull() & holds))
+    return kept.select("row", "doc_id", F.when(F.col("kind") >= 0, F.col("kind")).alias("kind"), "start", "end", "value")
 
 
 def _uncovered(spans: DataFrame) -> DataFrame:
