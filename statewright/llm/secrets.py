@@ -88,7 +88,7 @@ def model(docs: DataFrame, spans: DataFrame, *, sample_docs: int = 500, samples:
     """
     spark = docs.sparkSession
     sample = docs.where("text is not null").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(sample_docs)
-    words = F.array_remove(F.split(F.col("text"), r"[^A-Za-z]+"), "")
+    words = F.filter(F.split(F.col("text"), r"[^A-Za-z0-9]+"), lambda w: w.rlike("^[A-Za-z]{2,}$"))
     word = sample.select(F.posexplode(F.arrays_zip(words.alias("a"), F.slice(words, 2, 1 << 30).alias("b"))).alias("i", "p")).select("p.a", F.lower("p.b").alias("b"), "i")
     ordinary = word.where("b is not null").select(F.when(F.col("i") % 4 == 0, F.concat_ws("_", F.upper("a"), F.upper("b"))).when(F.col("i") % 4 == 1, F.concat("a", F.initcap("b"))).when(F.col("i") % 4 == 2, F.concat_ws("-", "a", "b", (F.col("i") % 100).cast("string"))).otherwise(F.concat_ws("_", "a", "b")).alias("s"))
     digest = F.unhex(F.sha2(F.col("id").cast("string"), 256))
