@@ -19,9 +19,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.window import Window
 
 from .common import staged
 from .components import components
+from .para_minhash import shingle_hashes, words_of
 
 BITS = np.arange(64, dtype=np.uint64)
 
@@ -87,3 +89,92 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, id_col: str = "doc_id",
     smallest = member.groupBy("root").agg(F.min("least").alias("component_id"))
     named = member.join(smallest, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _sketched(words: int, blocks: int, every: int, id_type: pa.DataType):
+    """rid, doc_id, fp, size (different shingles) and the fingerprints of the document's blocks of smallest hash."""
+    schema = pa.schema([("rid", pa.int64()), ("doc_id", id_type), ("fp", pa.int64()), ("size", pa.int32()), ("blocks", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, sizes, chosen = [], [], []
+            for t in batch.column(2):
+                text = t.as_py() or ""
+                w = words_of(text)
+                fps.append(fingerprint(text, words))
+                sizes.append(len(np.unique(shingle_hashes(w, words))))
+                # Blocks end where the hash of two neighbouring words says so, wherever they stand.
+                ends = np.flatnonzero(shingle_hashes(w, 2) % np.uint64(every) == 0) + 1 if len(w) > 1 else []
+                cuts = [0, *(int(e) for e in ends), len(w)]
+                parts = [w[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if b - a > words]
+                parts = sorted({b" ".join(p) for p in parts or [w]}, key=lambda p: xxhash.xxh64_intdigest(p, 7))[:blocks]
+                chosen.append([fingerprint(p.decode(), words) for p in parts])
+            signed = lambda x: np.array(x, dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(signed(fps)), pa.array(sizes, pa.int32()), pa.array([signed(c) for c in chosen], pa.list_(pa.int64()))], schema=schema)
+
+    return run
+
+
+def _similar(words: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, known = None, None
+        for batch in batches:
+            kept = []
+            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if a != last:
+                    last, known = a, np.unique(shingle_hashes(words_of(x.as_py()), words))
+                other = np.unique(shingle_hashes(words_of(y.as_py()), words))
+                both = len(np.intersect1d(known, other, assume_unique=True))
+                if both >= similarity * (len(known) + len(other) - both):
+                    kept.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.int64()) for i in range(2)], names=["a", "b"])
+
+    return run
+
+
+def similar_pairs(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, blocks: int = 8, every: int = 12, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(rows, links): rows has rid (a hash of identifier and text) and doc_id; links joins rids of near copies.
+
+    Candidates come from whole-document fingerprints at most two bits apart (by the variant index) and
+    from equal fingerprints of blocks cut by content, since whole-document fingerprints of near copies
+    often differ in more bits than any index of few segments bears. In a group of candidates each is
+    paired with the smallest identifier and with its neighbour in size, never all with all; pairs whose
+    sizes rule out the similarity are left out; the rest is verified on the whole texts.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    narrow = docs.select(F.xxhash64(F.col(id_col), text).alias("rid"), F.col(id_col).alias("doc_id"), text.alias("text"))
+    kind = narrow.schema["doc_id"].dataType
+    spec = f"rid long, doc_id {kind.simpleString()}, fp long, size int, blocks array<long>"
+    rows = staged(narrow.mapInArrow(_sketched(words, blocks, every, to_arrow_type(kind)), spec), "near-rows")
+    distinct = rows.groupBy("fp").agg(F.min(F.struct("doc_id", "rid", "size")).alias("head"))
+    found = links(distinct.select("fp"))
+    heads = distinct.select("fp", F.col("head.rid").alias("rid"), F.col("head.size").alias("size"))
+    close = found.join(heads.select(F.col("fp").alias("a"), F.col("rid").alias("p"), F.col("size").alias("m")), "a").join(heads.select(F.col("fp").alias("b"), F.col("rid").alias("q"), F.col("size").alias("n")), "b").select("p", "m", "q", "n")
+    keys = rows.select("rid", "doc_id", "size", F.explode(F.concat(F.transform(F.array_distinct("blocks"), lambda x: F.struct(F.lit(1).alias("of"), x.alias("key"))), F.array(F.struct(F.lit(0).alias("of"), F.col("fp").alias("key"))))).alias("k")).select("rid", "doc_id", "size", "k.of", "k.key")
+    least = keys.groupBy("of", "key").agg(F.min(F.struct("doc_id", "rid", "size")).alias("head"), F.count("*").alias("c")).where("c > 1").select("of", "key", "head")
+    met = keys.join(least, ["of", "key"])
+    by_size = Window.partitionBy("of", "key").orderBy("size", "rid")
+    stars = met.select(F.col("head.rid").alias("p"), F.col("head.size").alias("m"), F.col("rid").alias("q"), F.col("size").alias("n"))
+    beside = met.select(F.lag("rid").over(by_size).alias("p"), F.lag("size").over(by_size).alias("m"), F.col("rid").alias("q"), F.col("size").alias("n"))
+    fits = (F.col("p") != F.col("q")) & (F.least("m", "n") >= similarity * F.greatest("m", "n"))
+    pairs = staged(close.unionByName(stars).unionByName(beside).where(fits).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "near-pairs")
+    side = narrow.select("rid", "text")
+    one = pairs.join(side.select(F.col("rid").alias("a"), F.col("text").alias("x")), "a")
+    two = one.join(side.select(F.col("rid").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+    return rows.select("rid", "doc_id"), staged(two.mapInArrow(_similar(words, similarity), "a long, b long").distinct(), "near-links")
+
+
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with one row of each group of near copies, the one with the smallest identifier; all columns kept.
+
+    Null and empty texts are near copies of each other. Rows without a near copy stay as they are; rows
+    that repeat identifier and text share their fate. An empty table gives an empty result.
+    """
+    rows, near = similar_pairs(docs, id_col=id_col, text_col=text_col, **options)
+    member = components(near).withColumnRenamed("node", "rid")
+    grouped = rows.join(member, "rid")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
+    stays = grouped.groupBy("root").agg(F.min(order).alias("s"))
+    gone = grouped.join(stays, "root").where(F.col("rid") != F.col("s.rid")).select(F.col("rid").alias("__gone")).distinct()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.join(gone, F.xxhash64(F.col(id_col), text) == F.col("__gone"), "left_anti")
