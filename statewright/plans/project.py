@@ -73,7 +73,8 @@ class Project:
             for column, target in model.refs.items():
                 source = self._id_frame(database, head, target)
                 found += [("dangling_reference", name, f"{column}={r[0]}") for r in references.dangling(files, column, source, "id").select(column).limit(20).collect()]
-            changes[name] = diff.state_diff(live, files, list(model.key), columns, model.mode, model.insert_only)
+            ids = [model.id] if model.ids == "files" and model.id in files.columns else []
+            changes[name] = diff.state_diff(live, files, list(model.key), columns + ids, model.mode, (*model.insert_only, *ids))
         return Report(changes, found)
 
     def _id_frame(self, database: dict[str, DataFrame], head: dict[str, DataFrame], target: str) -> DataFrame:
@@ -95,7 +96,9 @@ class Project:
                 raise Refused(f"{model}: the files no longer hold rows, and deletes are refused")
             parts.append(changeset.as_changes(part, model, key).withColumn("__model", F.lit(rank)))
         # Deletes go against the models' order, the rest with it.
-        place = F.when(F.col("kind") == "delete", F.struct(F.lit(0).alias("a"), -F.col("__model"))).when(F.col("kind") == "update", F.struct(F.lit(1).alias("a"), F.col("__model"))).otherwise(F.struct(F.lit(2).alias("a"), F.col("__model")))
+        first = F.when(F.col("kind") == "delete", 0).when(F.col("kind") == "update", 1).otherwise(2)
+        then = F.when(F.col("kind") == "delete", -F.col("__model")).otherwise(F.col("__model"))
+        place = F.struct(first.alias("first"), then.alias("then"))
         changes = tables.union(parts).withColumn("__place", place)
         rows = changes.orderBy("__place", F.to_json("key")).drop("__place", "__model").collect()  # a set is made to be reviewed
         if not rows:
