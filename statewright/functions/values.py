@@ -145,3 +145,27 @@ def float_reading_differs(text: Column) -> Column:
 
 def null_safe(pairs: list[tuple[Column, Column]]) -> Column:
     return reduce(lambda a, b: a & b, [x.eqNullSafe(y) for x, y in pairs], F.lit(True))
+
+
+def zero_text(kind: T.DataType) -> str | None:
+    """The text of a type's zero; None where it has none."""
+    if isinstance(kind, T.NumericType):
+        return "0"
+    return {T.BooleanType: "false", T.StringType: ""}.get(type(kind))
+
+
+def array_literal(json: Column) -> Column:
+    """A JSON array of scalars as a literal {a,"b c",NULL}; null where it is no flat array."""
+    parts = F.from_json(json, "array<string>")
+    bare = lambda v: v.rlike('^[^\\s{},"\\\\]+$') & (F.lower(v) != "null")
+    quoted = lambda v: F.concat(F.lit('"'), F.regexp_replace(v, '(["\\\\])', "\\\\$1"), F.lit('"'))
+    shown = F.transform(parts, lambda v: F.when(v.isNull(), "NULL").when(bare(v), v).otherwise(quoted(v)))
+    nested = json.rlike(r"^\s*\[\s*[\[{]")
+    return F.when(parts.isNotNull() & ~nested, F.concat(F.lit("{"), F.array_join(shown, ","), F.lit("}")))
+
+
+def snake(name: str) -> str:
+    """A field name as a column name: words in lower case, joined by underscores."""
+    import re
+
+    return re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_", name).lower()

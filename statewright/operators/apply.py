@@ -127,3 +127,22 @@ def latest_state(history: DataFrame, key: list[str], order: str) -> DataFrame:
     """The newest row of each key."""
     newest = Window.partitionBy(*key).orderBy(F.col(order).desc())
     return history.withColumn("__rank", F.row_number().over(newest)).where("__rank = 1").drop("__rank")
+
+
+def ids_taken(wanted: DataFrame, live: DataFrame, id_col: str, key: list[str]) -> DataFrame:
+    """Inserts whose id another row holds: the key wanted, and the id."""
+    held = live.select(F.col(id_col).alias("__id"), *[F.col(k).alias(f"__{k}") for k in key])
+    met = wanted.join(held, F.col(id_col) == F.col("__id"))
+    return met.where(~null_safe([(F.col(k), F.col(f"__{k}")) for k in key])).select(*key, id_col)
+
+
+def noted(inserts: DataFrame, deleted: DataFrame, key: list[str]) -> DataFrame:
+    """inserts with deleted_at where the key has been deleted softly before (deleted: key, deleted_at)."""
+    return inserts.join(deleted, key, "left")
+
+
+def cascade(changes: DataFrame, key: str, rows: DataFrame, ref: str, row_key: str, action: str) -> DataFrame:
+    """What deleting referred rows does to those that refer to them: row_key and effect (delete, set null, refuse)."""
+    gone = changes.where("kind = 'delete'").select(F.col(key).alias("__gone"))
+    effect = {"cascade": "delete", "set null": "set null"}.get(action, "refuse")
+    return rows.join(gone, F.col(ref) == F.col("__gone"), "left_semi").select(row_key, F.lit(effect).alias("effect"))

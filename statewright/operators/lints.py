@@ -50,6 +50,40 @@ def unknown_columns(df: DataFrame, known: list[str], generated: list[str] = ())
     return [c for c in df.columns if c not in known or c in generated]
 
 
+def json_nulls(df: DataFrame, row: Column, column: str, has_default: bool = False) -> DataFrame:
+    """Nulls in a JSON column without a default: null the value and null the JSON cannot be told apart."""
+    return findings(df, "json_null", row, F.col(column).isNull() & F.lit(not has_default), F.lit(column))
+
+
+def zero_times(df: DataFrame, row: Column, column: str) -> DataFrame:
+    """Rows whose soft-delete column holds the zero time, which reads as deleted and is meant as not."""
+    return findings(df, "zero_time", row, F.year(column) <= 1, F.lit(column))
+
+
+def soft_delete_problem(schema, column: str, nullable: bool = True, default: str | None = None) -> str | None:
+    """Why a column cannot be a soft-delete column: it must be a nullable timestamp without a default."""
+    kinds = {f.name: f.dataType.typeName() for f in schema}
+    if column not in kinds:
+        return "no such column"
+    if not kinds[column].startswith("timestamp"):
+        return f"{kinds[column]} is no timestamp"
+    return "must be nullable" if not nullable else "must not have a default" if default is not None else None
+
+
+def by_kind(found: DataFrame) -> DataFrame:
+    """kind, n, unsure: how many findings of each kind, and how many of them are unsure."""
+    return found.groupBy("kind").agg(F.count("*").alias("n"), F.count_if("unsure").alias("unsure"))
+
+
+def worst(found: DataFrame, modes: dict[str, str]) -> DataFrame:
+    """mode: the worst that the findings' kinds come to; a kind without a mode is an error."""
+    rank = F.lit(2)
+    for kind, mode in modes.items():
+        rank = F.when(F.col("kind") == kind, {"ignore": 0, "warn": 1, "error": 2}[mode]).otherwise(rank)
+    top = F.coalesce(F.max(rank), F.lit(0))
+    return found.agg(F.when(top == 2, "error").when(top == 1, "warn").otherwise("ignore").alias("mode"))
+
+
 @dataclass(frozen=True)
 class Index:
     """A declared unique index: columns, the predicate it holds for, whether nulls count as equal, whether it is valid."""

@@ -472,3 +472,58 @@ def d05_undecided(spark, sf_dir):
 @query(cte("base_supplier", "head_supplier") + "SELECT b.s_suppkey, b.s_name AS old, h.s_name AS new FROM base_supplier b JOIN head_supplier h ON b.s_suppkey = h.s_suppkey WHERE b.s_name <> h.s_name AND lower(b.s_name) = lower(h.s_name)")
 def d07_respelled(spark, sf_dir):
     return diff.respelled(state(spark, sf_dir, "base_supplier"), state(spark, sf_dir, "head_supplier"), ["s_suppkey"], "s_name", values.fold)
+
+
+@query("SELECT " + FINDING.format("json_null", "event_id", "'props'", "false") + " FROM events WHERE event_id % 8 = 0")
+def l05_json_null(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("props", F.when(F.col("event_id") % 8 != 0, F.col("props")))
+    return lints.json_nulls(e, F.col("event_id"), "props")
+
+
+@query("SELECT " + FINDING.format("zero_time", "event_id", "'gone'", "false") + " FROM events WHERE event_id % 6 = 0")
+def l15_zero_times(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("gone", F.when(F.col("event_id") % 6 == 0, F.to_timestamp_ntz(F.lit("0001-01-01 00:00:00"))).when(F.col("event_id") % 6 == 1, F.col("ts")))
+    return lints.zero_times(e, F.col("event_id"), "gone")
+
+
+def _found(spark, sf_dir):
+    return lints.moving_values(state(spark, sf_dir, "texts"), F.col("id"), "said").unionByName(lints.float_readings(state(spark, sf_dir, "numerals"), F.col("id"), "said"))
+
+
+FOUND = "(SELECT 'session_dependent' AS kind, false AS unsure FROM texts WHERE said IN ('now', '01/02/2024', '2024-01-02 03:04:05') UNION ALL SELECT 'float_reading', true FROM numerals WHERE regexp_full_match(said, '[0-9]+') AND CAST(CAST(said AS DOUBLE) AS HUGEINT) <> CAST(said AS HUGEINT))"
+
+
+@query(cte("texts", "numerals") + f"SELECT kind, count(*) AS n, count(*) FILTER (unsure) AS unsure FROM {FOUND} GROUP BY kind")
+def a18_findings_by_kind(spark, sf_dir):
+    return lints.by_kind(_found(spark, sf_dir))
+
+
+@query("SELECT 'warn' AS mode")
+def a17_worst_mode(spark, sf_dir):
+    return lints.worst(_found(spark, sf_dir), {"session_dependent": "warn", "float_reading": "ignore"})
+
+
+@query("SELECT c_name, c_custkey FROM (SELECT c_custkey + 1 AS c_custkey, c_name FROM customer) w WHERE EXISTS (SELECT 1 FROM customer l WHERE l.c_custkey = w.c_custkey AND l.c_name <> w.c_name)")
+def j15_ids_taken(spark, sf_dir):
+    live = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return run.ids_taken(live.withColumn("c_custkey", F.col("c_custkey") + 1), live, "c_custkey", ["c_name"])
+
+
+@query(cte("customer_history", "customer_wanted") + "SELECT w.code, CAST(max(h.deleted) AS VARCHAR) AS deleted_at FROM (SELECT DISTINCT code FROM customer_wanted) w LEFT JOIN customer_history h ON w.code = h.code GROUP BY 1")
+def a14_noted_deletions(spark, sf_dir):
+    wanted = state(spark, sf_dir, "customer_wanted").select("code").distinct()
+    deleted = references.newest_deleted(state(spark, sf_dir, "customer_history"), ["code"], "deleted")
+    return run.noted(wanted, deleted, ["code"]).withColumn("deleted_at", F.col("deleted_at").cast("string"))
+
+
+@query("SELECT o_orderkey, 'set null' AS effect FROM orders WHERE o_custkey % 13 = 0")
+def r10_cascade(spark, sf_dir):
+    gone = table(spark, sf_dir, "customer").where("c_custkey % 13 = 0").select("c_custkey", F.lit("delete").alias("kind"))
+    return run.cascade(gone, "c_custkey", table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", "set null")
+
+
+@query("SELECT event_id, '{' || event_type || ',\"' || event_type || ' x\",NULL}' AS text FROM events")
+def f13_array_literal(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    parts = F.array(F.col("event_type"), F.concat("event_type", F.lit(" x")), F.lit(None).cast("string"))
+    return e.select("event_id", values.array_literal(F.to_json(parts)).alias("text"))

@@ -180,3 +180,34 @@ def test_diff_apply_inverse_property(spark):
 
         assert rows(apply_changes(a, changes, ["k"])[0]) == rows(b)
         assert rows(apply_changes(b, diff.inverted(changes), ["k"])[0]) == rows(a)
+
+
+def test_scaffold_guesses_keys_and_references(spark):
+    from statewright.plans import scaffold
+
+    sf = "/root/testdata/sf0.001"
+    tables = {t: spark.read.parquet(f"{sf}/{t}.parquet") for t in ("region", "nation")}
+    made = scaffold.scaffold(tables)
+    assert made["models"]["nation"]["key"] == ["n_name"] and made["models"]["nation"]["refs"] == {"n_regionkey": "region"}
+    assert config.from_dict(made).order() == ["region", "nation"]
+
+
+def test_small_functions(spark):
+    assert values.snake("HTTPServerId") == "http_server_id"
+    df = spark.createDataFrame([('["a","b c",null]',), ('[["a"]]',), ("x",)], "j string")
+    assert [r[0] for r in df.select(values.array_literal(F.col("j"))).collect()] == ['{a,"b c",NULL}', None, None]
+    assert lints.soft_delete_problem(spark.range(1).selectExpr("current_timestamp() t", "id").schema, "id") == "long is no timestamp"
+    assert lints.soft_delete_problem(spark.range(1).selectExpr("current_timestamp() t", "id").schema, "t") is None
+
+
+def test_stream_of_changes(spark, tmp_path):
+    from statewright.streaming import follow
+
+    start = spark.createDataFrame([(1, "a")], "k long, v string")
+    changes = diff.state_diff(start, spark.createDataFrame([(1, "b"), (2, "c")], "k long, v string"), ["k"])
+    changes.coalesce(1).write.parquet(str(tmp_path / "in"))
+    seen = []
+    stream = spark.readStream.schema(changes.schema).parquet(str(tmp_path / "in"))
+    q = follow(stream, start, ["k"], lambda state, outcomes, n: seen.append(rows(state))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert seen[-1] == [(1, "b"), (2, "c")]
