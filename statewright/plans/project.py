@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.lineage import cut
 from ..operators import apply as run
 from ..operators import audit, diff, groups, references
-from ..sources import rowfiles, tables
+from ..sources import export, rowfiles, tables
 from . import changeset, state
 from .config import Config
 
@@ -156,6 +156,11 @@ class Project:
         up = audit.latest(log).where("direction = 'up'").select(F.col("set_name").alias("name"))
         return audit.applied_and_pending(directory, up)
 
+    def export(self, database: dict[str, DataFrame]) -> str:
+        """The database's live rows as the text of a row file, read back and compared before it is returned."""
+        live = {n: tables.scan(database[n], m) for n, m in self.config.models.items() if n in database}
+        return export.export(self.config, live)
+
     def baseline(self, folder: str, database: dict[str, DataFrame]) -> dict:
         """Record the database as the state that later sets start from."""
         return state.record(folder, database, covers=self.names()[-1] if self.names() else "")

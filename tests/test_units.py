@@ -154,6 +154,7 @@ def test_export_reads_back(spark, project, database):
     assert "{{ Currency.eur.id }}" in text
     report = project.check(database, project.head(text))
     assert report.agree()
+    assert "crew" not in project.export(database | {"Plan": database["Plan"].drop("note")})
 
 
 def test_row_files():
