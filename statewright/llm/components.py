@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
+#: Links that one task handles in a round.
+ROWS = 200_000
+
 
 def _least(links: DataFrame) -> DataFrame:
     """links (u, v) with m, the smallest of u and its neighbours. The grouping is summed before it is shuffled."""
@@ -29,11 +32,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now == seen or now[0] == 0:
             break
         seen = now
+        # Few links need few tasks and files; a task gets up to ROWS of them.
+        parts = max(1, -(-now[0] // ROWS))
+        edges = edges.coalesce(parts)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = staged(_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-large")
+        large = staged(_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(parts), "cc-large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = staged(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc-small")
+        edges = staged(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct().coalesce(parts), "cc-small")
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root"))
     alone = loops.select("node", F.col("node").alias("root"))
