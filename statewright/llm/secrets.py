@@ -83,11 +83,14 @@ def _bigrams(strings: DataFrame) -> DataFrame:
 def model(docs: DataFrame, spans: DataFrame, *, sample_docs: int = 500, samples: int = 2000) -> DataFrame:
     """g (two characters), ratio: the log-likelihood ratio of random against ordinary, for every pair of the alphabet.
 
-    Ordinary identifiers come from the sample_docs documents of smallest hashed identifier, random
+    Ordinary identifiers come from the sample_docs documents of smallest hash, random
     strings from `samples` digests for each alphabet and from all values that the patterns found.
     """
     spark = docs.sparkSession
-    sample = docs.where("text is not null").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(sample_docs)
+    # Hashes alone are ranked, so no task gathers texts to choose from; at most sample_docs hashes are broadcast.
+    hashed = docs.where("text is not null").withColumn("h", F.xxhash64("doc_id", "text"))
+    chosen = hashed.select("h").distinct().orderBy("h").limit(sample_docs)
+    sample = hashed.join(F.broadcast(chosen), "h", "left_semi")
     words = F.filter(F.split(F.col("text"), r"[^A-Za-z0-9]+"), lambda w: w.rlike("^[A-Za-z]{2,}$"))
     word = sample.select(F.posexplode(F.arrays_zip(words.alias("a"), F.slice(words, 2, 1 << 30).alias("b"))).alias("i", "p")).select("p.a", F.lower("p.b").alias("b"), "i")
     ordinary = word.where("b is not null").select(F.when(F.col("i") % 4 == 0, F.concat_ws("_", F.upper("a"), F.upper("b"))).when(F.col("i") % 4 == 1, F.concat("a", F.initcap("b"))).when(F.col("i") % 4 == 2, F.concat_ws("-", "a", "b", (F.col("i") % 100).cast("string"))).otherwise(F.concat_ws("_", "a", "b")).alias("s"))
