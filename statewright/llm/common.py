@@ -53,13 +53,15 @@ def release(spark: SparkSession | None = None) -> None:
 atexit.register(release)
 
 
-def staged(df: DataFrame, label: str, *, order: list[str] | None = None, bloom: str | None = None, partition: str | None = None) -> DataFrame:
+def staged(df: DataFrame, label: str, *, order: list[str] | None = None, bloom: str | None = None, partition: str | None = None, codec: str | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: computed once, safe from lost executors."""
     spark = df.sparkSession
     path = scratch(spark, label)
     writer = (df.sortWithinPartitions(*order) if order else df).write
     if bloom:
         writer = writer.option(f"parquet.bloom.filter.enabled#{bloom}", "true")
+    if codec:
+        writer = writer.option("compression", codec)
     if partition:
         writer = writer.partitionBy(partition)
     writer.parquet(path)

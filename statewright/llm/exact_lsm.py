@@ -33,7 +33,7 @@ def _best(rows: DataFrame, *keys: str) -> DataFrame:
     ).select(*keys, F.col("best.short").alias("short"), F.col("best.keep_id").alias("keep_id"), "min_id", "n")
 
 
-def _filtered(texts: DataFrame, repeated: DataFrame, n: int, filter_bits: int) -> DataFrame:
+def filtered(texts: DataFrame, repeated: DataFrame, n: int, filter_bits: int) -> DataFrame:
     """The rows whose digest may be repeated. The filter has at most filter_bits bits, so it is always small."""
     bits = BLOCK
     while bits < min(filter_bits, 16 * n):
@@ -78,7 +78,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     repeated = index.where("n > 1").select("digest")
     n = repeated.count()
-    hits = _filtered(full.select("digest", "norm"), repeated, n, filter_bits).groupBy("digest", "norm").agg(F.count("*").alias("copies"))
+    hits = filtered(full.select("digest", "norm"), repeated, n, filter_bits).groupBy("digest", "norm").agg(F.count("*").alias("copies"))
     verified = staged(hits.select("digest", F.sha2("norm", 256).alias("text_sha256"), "copies", F.xxhash64("norm").alias("second")), "lsm-verified")
     clashes = verified.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest")
     found = index.select("digest", "keep_id", F.col("n").alias("group_size"))
