@@ -19,11 +19,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.window import Window
 
 from .common import staged
 from .components import components
-from .para_minhash import shingle_hashes, words_of
+from .exact_lsm import filtered
+from .para_minhash import FILTER_BITS, shingle_hashes, words_of
 
 BITS = np.arange(64, dtype=np.uint64)
 
@@ -132,36 +132,73 @@ def _similar(words: int, similarity: float):
     return run
 
 
+def _verified(narrow: DataFrame, pairs: DataFrame, words: int, similarity: float, label: str) -> DataFrame:
+    """The pairs (a, b of rids) whose whole texts are that similar."""
+    side = narrow.select("rid", "text")
+    one = pairs.join(side.select(F.col("rid").alias("a"), F.col("text").alias("x")), "a")
+    two = one.join(side.select(F.col("rid").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+    return staged(two.mapInArrow(_similar(words, similarity), "a long, b long").distinct(), label)
+
+
+def bucket_links(narrow: DataFrame, keys: DataFrame, words: int, similarity: float, few: int = 32) -> DataFrame:
+    """Links whose closure joins all rows of one bucket that are similar; keys has rid, size and key, once each.
+
+    In buckets of up to `few` rows all pairs are tried. In larger ones heads are tried with all rows of the
+    bucket that are not yet in their component; then they leave it. A linked row stays until it has been a
+    head or all rows left are of one component, so no pair goes untried unless it is joined already. Rows
+    that share most with others are heads first: the original of many copies comes before them.
+    """
+    counts = staged(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-counts")
+    met = staged(filtered(keys.withColumn("digest", F.col("key")), counts.select(F.col("key").alias("digest")), counts.count(), FILTER_BITS).join(counts, "key").select("key", "rid", "size", "n"), "near-met")
+    # Buckets of the same rows are one.
+    alike = met.groupBy("key", "n").agg(F.bit_xor(F.xxhash64("rid")).alias("x"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("y"))
+    once = staged(alike.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "near-buckets")
+    weight = met.groupBy("rid").agg(F.sum("n").alias("weight"))
+    rows = staged(met.join(once, "key").join(weight, "rid").select("key", "rid", "size", "n", "weight"), "near-members")
+    fits = (F.col("p") != F.col("q")) & (F.least("m", "k") >= similarity * F.greatest("m", "k"))
+    ends = [F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")]
+    small = rows.where(F.col("n") <= few)
+    other = small.select("key", F.col("rid").alias("q"), F.col("size").alias("k"))
+    pairs = small.select("key", F.col("rid").alias("p"), F.col("size").alias("m")).join(other, "key").where("p < q").where(fits).select(ends).distinct()
+    left = rows.where(F.col("n") > few).select("key", "rid", "size", "weight", F.col("rid").alias("root"))
+    found, tried, slots = None, None, 1
+    while True:
+        heads = left.groupBy("key", F.pmod(F.xxhash64("rid"), F.lit(slots)).alias("slot")).agg(F.max(F.struct("weight", "rid", "size", "root")).alias("head"))
+        heads = staged(heads.select("key", F.col("head.rid").alias("p"), F.col("head.size").alias("m"), F.col("head.root").alias("of")), "near-heads")
+        apart = left.join(heads, "key").withColumnRenamed("rid", "q").withColumnRenamed("size", "k").where("root <> of").where(fits)
+        pairs = pairs.unionByName(apart.select(ends)).distinct()
+        pairs = staged(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = _verified(narrow, pairs, words, similarity, "near-links")
+        found = links if found is None else found.unionByName(links)
+        left = left.join(heads.select("key", F.col("p").alias("rid")), ["key", "rid"], "left_anti")
+        root = staged(components(found), "near-roots").withColumnRenamed("node", "rid")
+        left = left.drop("root").join(root, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+        open_ = left.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
+        left = staged(left.join(open_, "key"), "near-left")
+        if left.isEmpty():
+            return found
+        pairs, slots = pairs.limit(0), slots * 8
+
+
 def similar_pairs(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, blocks: int = 8, every: int = 12, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, links): rows has rid (a hash of identifier and text) and doc_id; links joins rids of near copies.
 
     Candidates come from whole-document fingerprints at most two bits apart (by the variant index) and
     from equal fingerprints of blocks cut by content, since whole-document fingerprints of near copies
-    often differ in more bits than any index of few segments bears. In a group of candidates each is
-    paired with the smallest identifier and with its neighbour in size, never all with all; pairs whose
-    sizes rule out the similarity are left out; the rest is verified on the whole texts.
+    often differ in more bits than any index of few segments bears. In a group of candidates every pair is
+    tried that is not joined already (bucket_links); pairs whose sizes rule out the similarity are left
+    out; the rest is verified on the whole texts.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     narrow = docs.select(F.xxhash64(F.col(id_col), text).alias("rid"), F.col(id_col).alias("doc_id"), text.alias("text"))
     kind = narrow.schema["doc_id"].dataType
     spec = f"rid long, doc_id {kind.simpleString()}, fp long, size int, blocks array<long>"
     rows = staged(narrow.mapInArrow(_sketched(words, blocks, every, to_arrow_type(kind)), spec), "near-rows")
-    distinct = rows.groupBy("fp").agg(F.min(F.struct("doc_id", "rid", "size")).alias("head"))
-    found = links(distinct.select("fp"))
-    heads = distinct.select("fp", F.col("head.rid").alias("rid"), F.col("head.size").alias("size"))
-    close = found.join(heads.select(F.col("fp").alias("a"), F.col("rid").alias("p"), F.col("size").alias("m")), "a").join(heads.select(F.col("fp").alias("b"), F.col("rid").alias("q"), F.col("size").alias("n")), "b").select("p", "m", "q", "n")
-    keys = rows.select("rid", "doc_id", "size", F.explode(F.concat(F.transform(F.array_distinct("blocks"), lambda x: F.struct(F.lit(1).alias("of"), x.alias("key"))), F.array(F.struct(F.lit(0).alias("of"), F.col("fp").alias("key"))))).alias("k")).select("rid", "doc_id", "size", "k.of", "k.key")
-    least = keys.groupBy("of", "key").agg(F.min(F.struct("doc_id", "rid", "size")).alias("head"), F.count("*").alias("c")).where("c > 1").select("of", "key", "head")
-    met = keys.join(least, ["of", "key"])
-    by_size = Window.partitionBy("of", "key").orderBy("size", "rid")
-    stars = met.select(F.col("head.rid").alias("p"), F.col("head.size").alias("m"), F.col("rid").alias("q"), F.col("size").alias("n"))
-    beside = met.select(F.lag("rid").over(by_size).alias("p"), F.lag("size").over(by_size).alias("m"), F.col("rid").alias("q"), F.col("size").alias("n"))
-    fits = (F.col("p") != F.col("q")) & (F.least("m", "n") >= similarity * F.greatest("m", "n"))
-    pairs = staged(close.unionByName(stars).unionByName(beside).where(fits).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "near-pairs")
-    side = narrow.select("rid", "text")
-    one = pairs.join(side.select(F.col("rid").alias("a"), F.col("text").alias("x")), "a")
-    two = one.join(side.select(F.col("rid").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
-    return rows.select("rid", "doc_id"), staged(two.mapInArrow(_similar(words, similarity), "a long, b long").distinct(), "near-links")
+    close = staged(links(rows.select("fp").distinct()), "near-close")
+    beside = rows.join(close.withColumnRenamed("a", "fp"), "fp").select("rid", "size", F.xxhash64("fp", "b").alias("key")).unionByName(rows.join(close.withColumnRenamed("b", "fp"), "fp").select("rid", "size", F.xxhash64("a", "fp").alias("key")))
+    keys = rows.select("rid", "size", F.explode(F.concat(F.transform("blocks", lambda x: F.xxhash64(F.lit(1), x)), F.array(F.xxhash64(F.lit(0), F.col("fp"))))).alias("key"))
+    return rows.select("rid", "doc_id"), bucket_links(narrow, keys.unionByName(beside).distinct(), words, similarity)
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -76,6 +76,26 @@ def test_near_copies_with_edits(spark):
     assert kept == brute_near(docs)
 
 
+def test_near_copies_of_an_original_that_comes_last(spark):
+    import random
+
+    from statewright.llm import simhash
+
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(5000)]
+    docs = []
+    for g in range(2):
+        text = [rng.choice(words) for _ in range(300)]
+        docs.append((1000 * g + 999, " ".join(text)))
+        while len(docs) < 111 * (g + 1):
+            copy = " ".join(rng.choice(words) if rng.random() < 0.018 else w for w in text)
+            x, y = shingles(copy), shingles(docs[111 * g][1])
+            if len(x & y) >= 0.8 * len(x | y):
+                docs.append((1000 * g + len(docs) - 111 * g, copy))
+    kept = {r["doc_id"] for r in simhash.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert kept == brute_near(docs) and len(kept) == 2
+
+
 def test_stages_take_awkward_rows(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in ODD], "doc_id long, text string, lang string, source string, n_chars long")
     for name, stage in corpus_pipeline.STAGES:
