@@ -11,6 +11,7 @@ bits of each other, so each is linked to the smallest, and no group is expanded
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,26 +92,50 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, id_col: str = "doc_id",
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _sketched(words: int, blocks: int, every: int, id_type: pa.DataType):
-    """rid, doc_id, fp, size (different shingles) and the fingerprints of the document's blocks of smallest hash."""
-    schema = pa.schema([("rid", pa.int64()), ("doc_id", id_type), ("fp", pa.int64()), ("size", pa.int32()), ("blocks", pa.list_(pa.int64()))])
+def _shingled(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(words_of(t.as_py()), words)).view(np.int64))], names=["h"])
+
+    return run
+
+
+def common_shingles(narrow: DataFrame, words: int, sample: int = 20_000, most: int = 50_000) -> np.ndarray:
+    """Hashes of the shingles that a sample of documents repeats most, rarest first.
+
+    They only put the shingles of all documents into one order, which may be any; the rarer those in front,
+    the fewer candidates there are.
+    """
+    share = max(1, narrow.count() // sample)
+    some = narrow.where(F.pmod(F.xxhash64("rid"), F.lit(share)) == 0).select("text").mapInArrow(_shingled(words), "h long")
+    top = some.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(most).collect()
+    return np.array([r["h"] for r in reversed(top)], dtype=np.int64).view(np.uint64)
+
+
+def _prefixed(words: int, similarity: float, common: np.ndarray, id_type: pa.DataType):
+    """rid, doc_id, size (different shingles) and the document's first shingles in the order of all shingles.
+
+    Documents of that similarity have ceil(similarity * size) shingles in common, so one at least is among the
+    first size - ceil(similarity * size) + 1 of either. Documents without words have the shingle zero.
+    """
+    schema = pa.schema([("rid", pa.int64()), ("doc_id", id_type), ("size", pa.int32()), ("first", pa.list_(pa.int64()))])
+    order = np.argsort(common)
+    listed = common[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sizes, chosen = [], [], []
+            sizes, chosen = [], []
             for t in batch.column(2):
-                text = t.as_py() or ""
-                w = words_of(text)
-                fps.append(fingerprint(text, words))
-                sizes.append(len(np.unique(shingle_hashes(w, words))))
-                # Blocks end where the hash of two neighbouring words says so, wherever they stand.
-                ends = np.flatnonzero(shingle_hashes(w, 2) % np.uint64(every) == 0) + 1 if len(w) > 1 else []
-                cuts = [0, *(int(e) for e in ends), len(w)]
-                parts = [w[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if b - a > words]
-                parts = sorted({b" ".join(p) for p in parts or [w]}, key=lambda p: xxhash.xxh64_intdigest(p, 7))[:blocks]
-                chosen.append([fingerprint(p.decode(), words) for p in parts])
-            signed = lambda x: np.array(x, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(signed(fps)), pa.array(sizes, pa.int32()), pa.array([signed(c) for c in chosen], pa.list_(pa.int64()))], schema=schema)
+                h = np.unique(shingle_hashes(words_of(t.as_py()), words))
+                sizes.append(len(h))
+                if len(listed) and len(h):
+                    at = np.minimum(np.searchsorted(listed, h), len(listed) - 1)
+                    known = listed[at] == h
+                    h = np.concatenate([h[~known], common[np.sort(order[at[known]])]])
+                n = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1
+                chosen.append((h[:n] if len(h) else np.zeros(1, dtype=np.uint64)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(chosen, pa.list_(pa.int64()))], schema=schema)
 
     return run
 
@@ -181,24 +206,22 @@ def bucket_links(narrow: DataFrame, keys: DataFrame, words: int, similarity: flo
         pairs, slots = pairs.limit(0), slots * 8
 
 
-def similar_pairs(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, blocks: int = 8, every: int = 12, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def similar_pairs(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, links): rows has rid (a hash of identifier and text) and doc_id; links joins rids of near copies.
 
-    Candidates come from whole-document fingerprints at most two bits apart (by the variant index) and
-    from equal fingerprints of blocks cut by content, since whole-document fingerprints of near copies
-    often differ in more bits than any index of few segments bears. In a group of candidates every pair is
-    tried that is not joined already (bucket_links); pairs whose sizes rule out the similarity are left
-    out; the rest is verified on the whole texts.
+    Candidates are documents that share one of their first shingles in an order of all shingles, rare ones
+    first: every pair of the similarity does, short texts as well, which fingerprints of two or fewer
+    differing bits or equal blocks do not give. In a group of candidates every pair is tried that is not
+    joined already (bucket_links); pairs whose sizes rule out the similarity are left out; the rest is
+    verified on the whole texts.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     narrow = docs.select(F.xxhash64(F.col(id_col), text).alias("rid"), F.col(id_col).alias("doc_id"), text.alias("text"))
     kind = narrow.schema["doc_id"].dataType
-    spec = f"rid long, doc_id {kind.simpleString()}, fp long, size int, blocks array<long>"
-    rows = staged(narrow.mapInArrow(_sketched(words, blocks, every, to_arrow_type(kind)), spec), "near-rows")
-    close = staged(links(rows.select("fp").distinct()), "near-close")
-    beside = rows.join(close.withColumnRenamed("a", "fp"), "fp").select("rid", "size", F.xxhash64("fp", "b").alias("key")).unionByName(rows.join(close.withColumnRenamed("b", "fp"), "fp").select("rid", "size", F.xxhash64("a", "fp").alias("key")))
-    keys = rows.select("rid", "size", F.explode(F.concat(F.transform("blocks", lambda x: F.xxhash64(F.lit(1), x)), F.array(F.xxhash64(F.lit(0), F.col("fp"))))).alias("key"))
-    return rows.select("rid", "doc_id"), bucket_links(narrow, keys.unionByName(beside).distinct(), words, similarity)
+    spec = f"rid long, doc_id {kind.simpleString()}, size int, first array<long>"
+    rows = staged(narrow.mapInArrow(_prefixed(words, similarity, common_shingles(narrow, words), to_arrow_type(kind)), spec), "near-rows")
+    keys = rows.dropDuplicates(["rid"]).select("rid", "size", F.explode("first").alias("key"))
+    return rows.select("rid", "doc_id"), bucket_links(narrow, keys, words, similarity)
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -96,6 +96,24 @@ def test_near_copies_of_an_original_that_comes_last(spark):
     assert kept == brute_near(docs) and len(kept) == 2
 
 
+def test_near_copies_of_short_texts(spark):
+    import random
+
+    from statewright.llm import simhash
+
+    rng = random.Random(12)
+    docs = []
+    for d in range(150):
+        text = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(12, 31))]
+        docs += [(2 * d, " ".join(text)), (2 * d + 1, " ".join([*text, f"w{rng.randrange(5000)}"]))]
+    shared = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    for d in range(40):
+        own = [f"w{rng.randrange(5000)}" for _ in range(70)]
+        docs += [(1000 + 2 * d, " ".join(shared + own)), (1001 + 2 * d, " ".join([*shared, *own[:20], "edit", *own[21:50], "edit", *own[51:]]))]
+    kept = {r["doc_id"] for r in simhash.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert kept == brute_near(docs) and len(kept) < len(docs) * 0.6
+
+
 def test_stages_take_awkward_rows(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in ODD], "doc_id long, text string, lang string, source string, n_chars long")
     for name, stage in corpus_pipeline.STAGES:
