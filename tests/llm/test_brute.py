@@ -361,3 +361,17 @@ def test_passages(spark, empty, odd):
     assert sum(not r["removed"] for r in got) == 4
     assert para_minhash.passages(empty).count() == 0
     assert para_minhash.passages(odd).where("doc_id in (1, 2, 3)").count() == 0
+
+
+def test_passages_without_an_anchor_by_hash(spark):
+    rng = np.random.default_rng(8)
+    say = lambda n: [f"w{x}" for x in rng.integers(10**6, size=n)]
+    rows = []
+    while len(rows) < 24:
+        passage = say(50 + len(rows) // 2 % 3)
+        h = para_minhash.shingle_hashes([w.encode() for w in passage])
+        if not (para_minhash._mixed(h) % np.uint64(12) == 0).any():
+            rows += [(len(rows) + k, " ".join(say(100) + passage + say(100))) for k in range(2)]
+    got = para_minhash.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in got} == set(range(24))
+    assert all(r["component_id"] == r["doc_id"] // 2 * 2 and r["n_words"] >= 50 for r in got)
