@@ -93,6 +93,8 @@ class Writer:
         elif key < self.last:
             raise ValueError("keys must come in ascending order")
         shared = next((i for i, (x, y) in enumerate(zip(key, self.last, strict=False)) if x != y), min(len(key), len(self.last)))
+        if len(ids) and int(ids.max()) >> 8 * self.width:
+            raise ValueError(f"an id does not fit into {self.width} bytes")
         body = ids.astype(self.type).tobytes()
         self.block += [_varint(shared), _varint(len(key) - shared), _varint(len(ids)), key[shared:], body]
         self.size += len(body) + len(key) + 6

@@ -57,7 +57,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # A unit that holds one of the vocabulary's own markers gets the ids that the library gives it.
+        self.marks = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         lead = " ?" if spaces else ""
@@ -78,7 +79,7 @@ class Encoder:
         return np.array([t.id for t in self.model.tokenize(spelled)], dtype="<u4").tobytes()
 
     def _whole(self, unit: str) -> bytes:
-        if self.plain.fullmatch(unit):
+        if self.plain.fullmatch(unit) and not any(m in unit for m in self.marks):
             return b"".join(map(self.words.__getitem__, self.pieces.findall(unit if self.spaces else unit.lower())))
         return self._ids(unit)
 
