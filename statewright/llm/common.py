@@ -75,3 +75,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fold(column: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(column, UPPER, LOWER)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever its columns are called (Spark compares names without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"{name}_"
+    return name

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, staged
+from .common import fold, staged, unused
 
 #: What lies between words once A-Z are folded: ASCII but digits and letters.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -58,10 +58,12 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = 8, min_ite
     Windows go to the tasks in blocks of at most `block`, with one pass over docs for each block, so
     what is broadcast has a bound whatever the benchmark's size.
     """
-    base = docs.select("doc_id", F.col("text"), F.monotonically_increasing_id().alias("row"))
-    parsed = base.select("doc_id", "row", words(F.col("text")).alias("w"))
     windows = staged(_windows(items.select("item_id", "text"), window), "decon-windows")
     n_blocks = max(1, -(-windows.count() // block))
+    base = docs.select("doc_id", F.col("text"), F.monotonically_increasing_id().alias("row"))
+    if n_blocks > 1:  # rows keep their numbers from one pass to the next
+        base = staged(base, "decon-rows", codec="zstd")
+    parsed = base.select("doc_id", "row", words(F.col("text")).alias("w"))
     blocked = windows.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(n_blocks)))
     found = None
     for b in range(n_blocks):
@@ -85,6 +87,14 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = 8, min_ite
 
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """docs without its contaminated rows, all columns kept; rows that share an identifier share its fate."""
-    bad = contamination(docs, items, **options).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    """docs without the rows in which any window of any item occurs, all columns kept.
+
+    A row is judged by its own text, never by its identifier: rows that share an identifier, or have none,
+    keep their own fate, and rows of equal text go together. Null and empty texts have no words and stay.
+    Items without words or without an identifier match nothing, so an empty benchmark drops nothing; an
+    empty table gives an empty result. Columns of any other name may stand beside text.
+    """
+    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    mark = unused(docs, "hit_text")
+    hit = contamination(docs.select(digest.alias("doc_id"), "text"), items, **options).where("n_hit > 0")
+    return docs.join(hit.select(F.col("doc_id").alias(mark)).distinct(), digest == F.col(mark), "left_anti")

@@ -1,9 +1,10 @@
 """Toxicity: noisy-channel deobfuscation by Viterbi decoding, then a linear score of the restored words.
 
 A character trigram model is counted over all documents. Tokens that look disguised (digits or signs
-among letters, drawn-out letters, letters set apart) become a lattice: each character stands for itself
-or for the letters it may replace, repeated letters may be fewer, separators may vanish. The path that
-costs least under channel and language model is the restored token. Words and word beginnings of the
+among letters, drawn-out or doubled letters, letters set apart) become a lattice: each character stands for
+itself or for the letters it may replace, repeated letters may be fewer, separators may vanish, and what
+sets single letters apart vanishes or ends a word. The path that costs least under channel and language
+model is the restored token, or the restored words. Words and word beginnings of the
 restored text are the features of a logistic regression on the labelled rows; identifiers, labels,
 languages and sources are never features.
 """
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -32,11 +34,14 @@ FIRST_LATIN, LAST_LATIN = 0xDF, 0xFF
 N = 27 + LAST_LATIN - FIRST_LATIN + 1 + 1
 OTHER = N - 1
 
-SUBSTITUTE, COLLAPSE, SEPARATE = 1.0, 1.2, 0.3
-LONGEST = 32
+#: What the channel charges: a sign for a letter, a repeated letter left out, a separator, any other sign left out.
+SUBSTITUTE, COLLAPSE, SEPARATE, DROP = 1.0, 1.2, 0.3, 8.0
+#: Longer tokens are decoded each time they are met, so that the cache's size has a bound in bytes too.
+CACHED = 256
 
 _SIGN = re.compile(r"[0-9@$!|+€._*~'`-]")
-_DRAWN = re.compile(r"([^\W\d_])\1\1")
+#: Drawn out: a letter three times in a row, or two doubled letters.
+_DRAWN = re.compile(r"([^\W\d_])\1(?:\1|.*([^\W\d_])\2)", re.S)
 _APART = re.compile(r"(?<![^\W_])(?:[^\W_][ ._*-]){3,}[^\W_](?![^\W_])")
 EDGES = "\"#%&()*,-./:;<=>?[\\]^_`{}~'…“”„«»¡¿"
 PREFIXES = (4, 5, 6)
@@ -108,38 +113,61 @@ class Decoder:
         self.model = model
 
     def suspicious(self, token: str) -> bool:
-        return len(token) <= LONGEST and (bool(_DRAWN.search(token)) or bool(_SIGN.search(token)) and any(c.isalpha() for c in token))
+        return " " in token or bool(_DRAWN.search(token)) or bool(_SIGN.search(token)) and any(c.isalpha() for c in token)
 
-    def _options(self, token: str) -> list[list[tuple[str, float]]]:
-        """For each run of one character: what it may stand for, and at what cost."""
+    def options(self, token: str) -> list[list[tuple[str, float]]]:
+        """For each run of one character: what it may stand for, and at what cost. A space stands for a word's end.
+
+        At a token's edge separators and plain punctuation vanish at no cost, an exclamation mark only at
+        the end; digits and other signs cost the same there as anywhere.
+        """
         runs = [(m.group()[0], len(m.group())) for m in re.finditer(r"(.)\1*", token, re.S)]
+        apart = " " in token
         out = []
         for i, (ch, n) in enumerate(runs):
-            edge = i in (0, len(runs) - 1)
+            last = i == len(runs) - 1
             if ch.isalpha():
                 choices = [(ch * n, 0.0)] + [(ch * k, COLLAPSE * (1 + 0.1 * (n - k))) for k in (1, 2) if k < n]
             else:
-                choices = [("", SEPARATE * (0 if edge else 1))] if ch in SEPARATORS or edge else [("", 4.0)]
-                choices += [(x * k, SUBSTITUTE * k + COLLAPSE * (n > k)) for x in SIGNS.get(ch, "") for k in {1, n} if k <= 3]
+                plain = ch in SEPARATORS or ch not in SIGNS
+                if (plain and (i == 0 or last)) or (last and ch == "!"):
+                    choices = [("", 0.0)]
+                else:
+                    choices = [("", SEPARATE if ch in SEPARATORS or ch == " " else DROP)]
+                if apart and (ch == " " or ch in SEPARATORS):
+                    choices.append((" ", 0.0))
+                choices += [(x * k, SUBSTITUTE * k + COLLAPSE * (n > k)) for x in SIGNS.get(ch, "") for k in sorted({1, n}) if k <= 3]
             out.append(choices)
         return out
 
+    def cost(self, said: str) -> float:
+        """What the language model charges for a reading, its last word's end included."""
+        codes = [0, 0, *map(_symbol, said), 0]
+        return -sum(float(self.model[a, b, c]) for a, b, c in zip(codes, codes[1:], codes[2:], strict=False))
+
     def restore(self, token: str) -> str:
         """The least-cost reading of a lower-case token: Viterbi over states of the last two symbols."""
-        states = {(0, 0): (0.0, "")}
-        for choices in self._options(token):
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, said) in states.items():
-                for letters, extra in choices:
+        model = self.model
+        # Each state: its cost, and the chain of choices that led there.
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        for choices in self.options(token):
+            coded = [(letters, [_symbol(ch) for ch in letters], extra) for letters, extra in choices]
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (cost, chain) in states.items():
+                for letters, codes, extra in coded:
                     x, y, c = a, b, cost + extra
-                    for ch in letters:
-                        z = _symbol(ch)
-                        c -= float(self.model[x, y, z])
+                    for z in codes:
+                        c -= float(model[x, y, z])
                         x, y = y, z
                     if (x, y) not in new or c < new[x, y][0]:
-                        new[x, y] = (c, said + letters)
+                        new[x, y] = (c, (chain, letters))
             states = new
-        return min((cost - float(self.model[a, b, 0]), said) for (a, b), (cost, said) in states.items())[1]
+        (a, b), (_, chain) = min(states.items(), key=lambda s: s[1][0] - float(model[(*s[0], 0)]))
+        parts = []
+        while chain is not None:
+            chain, letters = chain
+            parts.append(letters)
+        return "".join(reversed(parts))
 
 
 class Reader:
@@ -151,26 +179,26 @@ class Reader:
 
     @staticmethod
     def tokens(text: str | None) -> set[str]:
+        """The text's tokens, and each run of single letters set apart as one token with spaces in it."""
         low = (text or "").lower()
-        found = set(low.split())
-        for m in _APART.finditer(low):
-            found.add(re.sub(r"[ ._*-]", "", m.group()))
-        return found
+        return {*low.split(), *(m.group() for m in _APART.finditer(low) if " " in m.group())}
 
     def features(self, token: str) -> list[str]:
         word = token.strip(EDGES)
         if self.decoder.suspicious(word):
             word = self.decoder.restore(word)
-        word = word.strip("!" + EDGES)
-        if not word or len(word) > LONGEST:
-            return []
-        return [f"w:{word}", *(f"{k}:{word[:k]}" for k in PREFIXES if len(word) > k)]
+        found = []
+        for part in word.split():
+            part = part.strip("!" + EDGES)
+            if part:
+                found += [f"w:{part}", *(f"{k}:{part[:k]}" for k in PREFIXES if len(part) > k)]
+        return found
 
     def _weight(self, token: str) -> float:
         return sum(self.weights.get(f, 0.0) for f in self.features(token))
 
     def score(self, text: str | None, bias: float) -> float:
-        z = bias + sum(map(self.score_of.__getitem__, self.tokens(text)))
+        z = bias + sum(self.score_of[t] if len(t) <= CACHED else self._weight(t) for t in self.tokens(text))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -235,11 +263,12 @@ def _regression(rows: list[tuple[list[int], list[float], int]], n: int, l2: floa
     return w, b
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 8000, max_features: int = 4000, min_z: float = 3.5) -> tuple[np.ndarray, dict[str, float], float]:
+def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 8000, min_z: float = 3.5) -> tuple[np.ndarray, dict[str, float], float]:
     """Character model, feature weights and bias.
 
-    The regression is fitted on at most max_labelled labelled rows (those of smallest hashed identifier)
-    and max_features features, so what reaches the driver has a bound; the character model counts every text.
+    The regression is fitted on at most max_labelled labelled rows (those of smallest hashed identifier), on
+    every feature of theirs that tells the labels apart by min_z standard errors, so what reaches the driver
+    has a bound; the character model counts every text.
     """
     context = docs.sparkSession.sparkContext
     model = language_model(docs)
@@ -252,7 +281,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 8000, max_f
     counts = sample.mapInArrow(_feature_counts(model_b), "f string, y int, n long").groupBy("f").agg(p.alias("p"), q.alias("q"))
     cells = [F.col("p") + 0.5, F.lit(pos) - F.col("p") + 0.5, F.col("q") + 0.5, F.lit(neg) - F.col("q") + 0.5]
     z = (F.log(cells[0] / cells[1]) - F.log(cells[2] / cells[3])) / F.sqrt(1 / cells[0] + 1 / cells[1] + 1 / cells[2] + 1 / cells[3])
-    best = counts.select("f", z.alias("z")).where(F.abs("z") > min_z).orderBy(F.abs("z").desc(), "f").limit(max_features).collect()
+    best = counts.select("f", z.alias("z")).where(F.abs("z") > min_z).orderBy("f").collect()
     index = {r["f"]: i for i, r in enumerate(best)}
     designed = sample.mapInArrow(_designed(model_b, context.broadcast(index)), "at array<int>, x array<double>, y int").collect()
     w, b = _regression([(r["at"], r["x"], r["y"]) for r in designed], len(index))
@@ -288,7 +317,7 @@ def scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     context = docs.sparkSession.sparkContext
     model, weights, bias = train(docs, labels, **options)
     kind = docs.schema["doc_id"].dataType
-    name = f"{id(model)}-{bias}-{len(weights)}"
+    name = uuid.uuid4().hex
     run = _scored(context.broadcast(model), context.broadcast(weights), bias, name, to_arrow_type(kind))
     scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
@@ -296,11 +325,16 @@ def scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def civil(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """docs without its rows predicted toxic, all columns kept. Rows are judged by their own text."""
+    """docs without its rows predicted toxic, all columns kept, in any number and of any other names.
+
+    A row is judged by its own text: null and empty texts get the score of a text without features, rows
+    that share an identifier keep their own fate, repeated rows go together. An empty table gives an
+    empty result; without toxic labels every row stays.
+    """
     context = docs.sparkSession.sparkContext
     model, weights, bias = train(docs, labels, **options)
     model_b, weights_b = context.broadcast(model), context.broadcast(weights)
-    name = f"civil-{id(model)}-{bias}-{len(weights)}"
+    name = uuid.uuid4().hex
     schema = docs.schema
     at = schema.names.index("text")
 
