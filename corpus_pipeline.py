@@ -26,7 +26,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold passages of two or more benchmark items."""
+    """Without the documents that hold a window of any benchmark item."""
     return decontam.clean(docs, common.table(spark, sf_dir, "benchmark"))
 
 
