@@ -83,3 +83,27 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"{name}_"
     return name
+
+
+def single(docs: DataFrame, repeated: DataFrame, digest: Column, mark: str) -> DataFrame:
+    """docs with one row of those that share a digest; repeated has the digests that several rows have, in column mark.
+
+    mark is no column of docs. Rows of other digests are not touched; mostly there are none but those.
+    """
+    many = staged(repeated, "repeated-rows")
+    if many.isEmpty():
+        return docs
+    rest = docs.join(many, digest == F.col(mark), "left_anti")
+    again = docs.join(many, digest == F.col(mark)).dropDuplicates([mark]).select(*docs.columns)
+    return rest.unionByName(again)
+
+
+_KEPT: dict[object, object] = {}
+
+
+def kept(name: object, make):
+    """What a Python worker keeps from task to task: one thing at a time, so that no operator's caches outlive its turn."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]

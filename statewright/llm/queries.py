@@ -64,10 +64,10 @@ WITH n AS (
 ), k AS (
   SELECT doc_id, norm,
          first_value(doc_id) OVER (PARTITION BY norm ORDER BY len DESC, doc_id) AS keep_id,
-         count(*) OVER (PARTITION BY norm) AS group_size
+         count(*) OVER (PARTITION BY norm) AS group_size, min(doc_id) OVER (PARTITION BY norm) AS first_id
   FROM n
 )
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM k
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256, first_id FROM k
 """
 
 OP3_SQL = r"""

@@ -101,15 +101,17 @@ def brute_classes(rows):
     for i, t in rows:
         g = groups[norm(t)]
         keep = min(g, key=lambda x: (x[0], x[1], x[2] or 0))[2]
-        out.append((i, keep, len(g), i == keep, hashlib.sha256(norm(t).encode()).hexdigest()))
+        out.append((i, keep, len(g), i == keep, hashlib.sha256(norm(t).encode()).hexdigest(), min((x[2] for x in g if x[2] is not None), default=None)))
     return sorted(out, key=repr)
 
 
 @pytest.mark.parametrize("chars", [64, 1])
 def test_exact_dedup(documents, texts, odd, empty, chars):
-    assert rows_of(exact_lsm.classes(documents, digest_chars=chars, run_rows=50)) == brute_classes(list(texts.items()))
+    assert rows_of(exact_lsm.classes(documents, digest_chars=chars, run_rows=30)) == brute_classes(list(texts.items()))
     assert rows_of(exact_lsm.classes(odd, digest_chars=chars)) == brute_classes(ODD)
     assert exact_lsm.classes(empty).count() == 0
+    kept = exact_lsm.deduplicated(odd)
+    assert kept.columns == odd.columns and kept.count() == len({r[4] for r in brute_classes(ODD)})
     kept = exact_lsm.deduplicated(documents)
     assert kept.columns == documents.columns and kept.count() == len({r[4] for r in brute_classes(list(texts.items()))})
 
@@ -409,3 +411,17 @@ def test_passages_without_an_anchor_by_hash(spark):
     got = para_minhash.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"] for r in got} == set(range(24))
     assert all(r["component_id"] == r["doc_id"] // 2 * 2 and r["n_words"] >= 50 for r in got)
+
+
+def test_runs_ask_each_other(spark):
+    rows = [(d % 4, f"{d % 50:064x}", d) for d in range(100)] + [(k % 4, f"{1000 + k:064x}", k) for k in range(200)]
+    entries = spark.createDataFrame(rows, "run int, digest string, keep_id int").dropDuplicates(["run", "digest"])
+    runs_of = collections.defaultdict(set)
+    for r in entries.collect():
+        runs_of[r["digest"]].add(r["run"])
+    got = exact_lsm.elsewhere(entries, 300, 4, 1 << 24).collect()
+    assert len(got) == entries.count() and all(r["seen"] for r in got if len(runs_of[r["digest"]]) > 1)
+    assert sum(r["seen"] for r in got if len(runs_of[r["digest"]]) == 1) < 20
+    # Filters that are too small let entries through and lose none.
+    small = exact_lsm.elsewhere(entries, 300, 4, 1).collect()
+    assert len(small) == len(got) and all(r["seen"] for r in small if len(runs_of[r["digest"]]) > 1)
