@@ -7,47 +7,78 @@ that one side does not have is absent there, which is not the same as null.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import fold, null_safe, text_of
+from ..functions.interval import interval_text
+from ..functions.values import comparable, fold, null_safe, text_of, value_of
 
 #: What each ownership mode lets the files do.
 MODES = {"sync": ("insert", "update", "delete"), "upsert": ("insert", "update"), "insert": ("insert",)}
 
 
-def _side(df: DataFrame, key: list[str], columns: list[str], name: str) -> DataFrame:
-    values = [F.struct(F.lit(c).alias("c"), text_of(df, c).alias("v")) for c in columns]
-    return df.select(*[F.col(k).alias(f"{name}_{k}") for k in key], F.array(*values).alias(name))
-
-
-def paired(base: DataFrame, head: DataFrame, key: list[str], columns: list[str] | None = None) -> DataFrame:
-    """Full outer join of two states on a null-safe key: the key, and arrays b and h of (column, text)."""
-    columns = columns or [c for c in head.columns if c not in key]
-    b = _side(base, key, [c for c in columns if c in base.columns], "b")
-    h = _side(head, key, [c for c in columns if c in head.columns], "h")
-    both = b.join(h, null_safe([(b[f"b_{k}"], h[f"h_{k}"]) for k in key]), "full_outer")
-    return both.select(*[F.coalesce(f"b_{k}", f"h_{k}").alias(k) for k in key], "b", "h")
+class _Pair:
+    """Two states side by side: a full outer join on a null-safe key, with the columns as they are.
 
+    Rows move in their own types; whether a column differs is one null-safe comparison, and only rows that
+    end up as changes are spelled out as text.
+    """
 
-def state_diff(base: DataFrame, head: DataFrame, key: list[str], columns: list[str] | None = None, mode: str = "sync", insert_only: tuple[str, ...] = ()) -> DataFrame:
+    def __init__(self, base: DataFrame, head: DataFrame, key: list[str], columns: list[str] | None):
+        self.key = key
+        self.columns = columns or [c for c in head.columns if c not in key]
+        self.base = [c for c in self.columns if c in base.columns]
+        self.head = [c for c in self.columns if c in head.columns]
+        b = base.select(*[F.col(c).alias(f"__b_{c}") for c in [*key, *self.base]], F.lit(True).alias("__b"))
+        h = head.select(*[F.col(c).alias(f"__h_{c}") for c in [*key, *self.head]], F.lit(True).alias("__h"))
+        self.df = b.join(h, null_safe([(b[f"__b_{k}"], h[f"__h_{k}"]) for k in key]), "full_outer")
+        self.in_base, self.in_head = F.col("__b").isNotNull(), F.col("__h").isNotNull()
+
+    def keys(self) -> list[Column]:
+        return [F.coalesce(f"__b_{k}", f"__h_{k}").alias(k) for k in self.key]
+
+    def differs(self, c: str) -> Column:
+        """Whether a column that both sides have differs; a column of one side always does."""
+        if c not in self.base or c not in self.head:
+            return F.lit(True)
+        one, two = self.df.schema[f"__b_{c}"].dataType, self.df.schema[f"__h_{c}"].dataType
+        if one == two and comparable(one):
+            return ~F.col(f"__b_{c}").eqNullSafe(F.col(f"__h_{c}"))
+        return ~text_of(self.df, f"__b_{c}").eqNullSafe(text_of(self.df, f"__h_{c}"))
+
+    def texts(self, side: str, columns: list[str], changed: bool) -> Column:
+        """A map of a side's columns to their texts: all, or the changed ones."""
+        held = [c for c in columns if c in (self.base if side == "b" else self.head)]
+        each = [F.struct(F.lit(c).alias("c"), text_of(self.df, f"__{side}_{c}").alias("v")) for c in held]
+        if not each:
+            return F.create_map().cast("map<string,string>")
+        if changed:
+            picked = F.filter(F.array(*[F.when(self.differs(c), e) for c, e in zip(held, each, strict=True)]), lambda x: x.isNotNull())
+            return F.map_from_entries(picked)
+        return F.map_from_entries(F.array(*each))
+
+
+def state_diff(base: DataFrame, head: DataFrame, key: list[str], columns: list[str] | None = None, mode: str = "sync", insert_only: tuple[str, ...] = (), id_col: str | None = None) -> DataFrame:
     """The changes that lead from base to head under an ownership mode; keys must be unique on either side.
 
-    Columns in insert_only are written by inserts and never compared.
+    Columns in insert_only are written by inserts and never compared. id_col, if it is one of the columns, is
+    written by inserts and held by deletes, so that a revert brings the row back under its id.
     """
-    both = paired(base, head, key, columns)
-    as_map = lambda a: F.map_from_entries(F.transform(a, lambda x: F.struct(x["c"], x["v"])))
-    owned = lambda a: F.filter(a, lambda x: ~x["c"].isin(*insert_only)) if insert_only else a
-    changed = lambda mine, other: F.filter(owned(mine), lambda x: ~F.exists(other, lambda y: y.eqNullSafe(x)))
-    before, after = changed(F.col("b"), F.col("h")), changed(F.col("h"), F.col("b"))
-    kind = F.when(F.col("b").isNull(), "insert").when(F.col("h").isNull(), "delete").when((F.size(before) > 0) | (F.size(after) > 0), "update")
-    out = both.select(
-        *key,
-        kind.alias("kind"),
-        F.when(kind == "update", as_map(before)).when(kind == "delete", as_map(owned(F.col("b")))).alias("old"),
-        F.when(kind == "update", as_map(after)).when(kind == "insert", as_map("h")).alias("new"),
+    pair = _Pair(base, head, key, columns)
+    owned = [c for c in pair.columns if c not in insert_only and c != id_col]
+    held = [c for c in pair.columns if c in owned or c == id_col]
+    other = reduce(lambda a, b: a | b, [pair.differs(c) for c in owned], F.lit(False))
+    kind = F.when(~pair.in_base, "insert").when(~pair.in_head, "delete").when(other, "update")
+    marked = pair.df.withColumn("__kind", kind).where(F.col("__kind").isin(*MODES[mode]))
+    said = F.col("__kind")
+    return marked.select(
+        *pair.keys(),
+        said.alias("kind"),
+        F.when(said == "update", pair.texts("b", owned, True)).when(said == "delete", pair.texts("b", held, False)).alias("old"),
+        F.when(said == "update", pair.texts("h", owned, True)).when(said == "insert", pair.texts("h", pair.columns, False)).alias("new"),
     )
-    return out.where(F.col("kind").isin(*MODES[mode]))
 
 
 def one_sided(changes: DataFrame) -> DataFrame:
@@ -86,6 +117,15 @@ def id_drift(base: DataFrame, head: DataFrame, id_col: str, key: list[str]) -> D
     return b.join(h, key).where(~F.col("base_id").eqNullSafe(F.col("head_id")))
 
 
+def drifted(base: DataFrame, head: DataFrame, id_col: str, key: list[str]) -> DataFrame:
+    """id_drift, without rows that a rename accounts for: neither id has moved to another key."""
+    gone = renames(base, head, id_col, key).select(F.col(id_col).alias("__id"))
+    out = id_drift(base, head, id_col, key)
+    for side in ("base_id", "head_id"):
+        out = out.join(gone, F.col(side) == F.col("__id"), "left_anti")
+    return out
+
+
 def fold_pairs(base: DataFrame, head: DataFrame, key: str) -> DataFrame:
     """One-sided keys that differ in case alone, where the pairing is one to one: old_key, new_key."""
     gone = base.select(F.col(key).alias("old_key")).join(head.select(F.col(key).alias("old_key")), "old_key", "left_anti")
@@ -94,15 +134,82 @@ def fold_pairs(base: DataFrame, head: DataFrame, key: str) -> DataFrame:
     return alone(gone, "old_key").join(alone(come, "new_key"), "folded").select("old_key", "new_key")
 
 
+def renamed_diff(base: DataFrame, head: DataFrame, key: list[str], id_col: str, columns: list[str] | None = None, mode: str = "sync", insert_only: tuple[str, ...] = (), policy: str = "refuse") -> tuple[DataFrame, DataFrame]:
+    """(changes, refused renames): the difference with rows told apart by their id first and their key then.
+
+    A row that keeps its id and gets another key is one update, found under its old key, which writes the
+    new one along with whatever else differs. It is refused if the policy says so or another base row holds
+    the new key; then neither of its two keys changes at all.
+    """
+    moves = renames(base, head, id_col, key)
+    refused = moves.where("occupied") if policy == "update" else moves
+    stay = refused.select(*[F.col(f"old_{k}").alias(k) for k in key]).unionByName(refused.select(*[F.col(f"new_{k}").alias(k) for k in key])).distinct()
+    if policy != "update":
+        changes = state_diff(base, head, key, columns, mode, insert_only, id_col)
+        return _without(changes, stay, key), refused
+    done = moves.where("not occupied").drop("occupied")
+    to = done.select(F.col(id_col).alias("__id"), *[F.col(f"new_{k}").alias(f"__to_{k}") for k in key], F.lit(True).alias("__moved"))
+    there = base.join(to, F.col(id_col) == F.col("__id"), "left")
+    there = there.select(*[F.when(F.col("__moved"), F.col(f"__to_{k}")).otherwise(F.col(k)).alias(k) if k in key else F.col(k) for k in base.columns])
+    changes = _without(state_diff(there, head, key, columns, mode, insert_only, id_col), stay, key)
+    if mode == "insert":
+        return changes, refused
+    side = lambda name: F.map_from_entries(F.array(*[F.struct(F.lit(k).alias("k"), text_of(done, f"{name}_{k}").alias("v")) for k in key]))
+    named = done.select(*[F.col(f"old_{k}").alias(f"__old_{k}") for k in key], *[F.col(f"new_{k}").alias(f"__new_{k}") for k in key], side("old").alias("__was"), side("new").alias("__is"))
+    both = changes.join(named, null_safe([(F.col(k), F.col(f"__new_{k}")) for k in key]), "full_outer")
+    moved = F.col("__was").isNotNull()
+    none = F.create_map().cast("map<string,string>")
+    return both.select(
+        *[F.coalesce(f"__old_{k}", k).alias(k) for k in key],
+        F.when(moved, "update").otherwise(F.col("kind")).alias("kind"),
+        F.when(moved, F.map_concat("__was", F.coalesce("old", none))).otherwise(F.col("old")).alias("old"),
+        F.when(moved, F.map_concat("__is", F.coalesce("new", none))).otherwise(F.col("new")).alias("new"),
+    ), refused
+
+
+def _without(changes: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
+    gone = keys.select(*[F.col(k).alias(f"__{k}") for k in key])
+    return changes.join(gone, null_safe([(F.col(k), F.col(f"__{k}")) for k in key]), "left_anti")
+
+
+def respelled_intervals(base: DataFrame, head: DataFrame, key: list[str], column: str) -> DataFrame:
+    """Rows whose column holds one interval in two spellings, where no type says which counts: key, old, new."""
+    b, h = base.select(*key, F.col(column).alias("old")), head.select(*key, F.col(column).alias("new"))
+    met = b.join(h, key).where(~F.col("old").eqNullSafe(F.col("new")))
+    said = met.withColumns({"__o": interval_text(F.col("old")), "__n": interval_text(F.col("new"))})
+    return said.where("__o = __n").select(*key, "old", "new")
+
+
+def touched(changes: DataFrame, refs: dict[str, dict[str, str]], model: str = "model") -> DataFrame:
+    """The models that a set changes or points at: model."""
+    names = [(m, t) for m, columns in refs.items() for t in columns.values()]
+    own = changes.select(F.col(model).alias("model")).distinct()
+    if not names:
+        return own
+    points = changes.sparkSession.createDataFrame(names, "__m string, target string")
+    return own.unionByName(own.join(points, F.col("model") == F.col("__m")).select(F.col("target").alias("model"))).distinct()
+
+
+def written_columns(changes: DataFrame, model: str = "model") -> DataFrame:
+    """model, columns: every column that a model's changes hold, sorted."""
+    empty = F.create_map().cast("map<string,string>")
+    names = F.array_union(F.map_keys(F.coalesce("old", empty)), F.map_keys(F.coalesce("new", empty)))
+    return changes.select(model, F.explode(names).alias("c")).distinct().groupBy(model).agg(F.array_join(F.sort_array(F.collect_list("c")), ",").alias("columns"))
+
+
+def undecided_groups(refusals: DataFrame) -> DataFrame:
+    """Refusals told by column and not by row: model, column, n."""
+    return refusals.groupBy("model", "column").agg(F.count("*").alias("n"))
+
+
 def left_alone(base: DataFrame, head: DataFrame, key: list[str], mode: str, insert_only: tuple[str, ...] = ()) -> DataFrame:
     """What a mode leaves as it is: rows only the base holds, rows that differ, and by insert-only column."""
-    both = paired(base, head, key)
-    value = lambda side, c: F.element_at(F.filter(side, lambda x: x["c"] == c), 1)["v"]
-    met = F.col("b").isNotNull() & F.col("h").isNotNull()
-    free = F.lit(mode != "sync") & F.col("h").isNull()
-    kept = F.lit(mode == "insert") & met & ~F.col("b").eqNullSafe(F.col("h"))
-    counts = [F.count_if(met & ~value("b", c).eqNullSafe(value("h", c))).alias(f"changed_{c}") for c in insert_only]
-    return both.agg(F.count_if(free).alias("rows"), F.count_if(kept).alias("changed"), *counts)
+    pair = _Pair(base, head, key, None)
+    met = pair.in_base & pair.in_head
+    free = F.lit(mode != "sync") & ~pair.in_head
+    any_ = reduce(lambda a, b: a | b, [pair.differs(c) for c in pair.columns], F.lit(False))
+    counts = [F.count_if(met & pair.differs(c)).alias(f"changed_{c}") for c in insert_only]
+    return pair.df.agg(F.count_if(free).alias("rows"), F.count_if(F.lit(mode == "insert") & met & any_).alias("changed"), *counts)
 
 
 def left_out(changes: DataFrame, key: list[str]) -> DataFrame:
@@ -124,10 +231,25 @@ def default_hints(changes: DataFrame, key: list[str], defaults: dict[str, str])
     return each.where(at & zero).select(*key, "column", hint.alias("hint"))
 
 
-def inverted(changes: DataFrame) -> DataFrame:
-    """The changes that take a set back: inserts become deletes, old and new change places."""
+def moved_key(key: str, kind) -> Column:
+    """A key column after a change: the new value if the change writes one."""
+    return F.when(F.array_contains(F.map_keys("new"), key), value_of(F.try_element_at("new", F.lit(key)), kind)).otherwise(F.col(key))
+
+
+def inverted(changes: DataFrame, key: list[str] = ()) -> DataFrame:
+    """The changes that take a set back: inserts become deletes, old and new change places.
+
+    A renamed row is found under the key it has by then: in the columns `key`, or in a map column named key.
+    """
     kind = F.when(F.col("kind") == "insert", "delete").when(F.col("kind") == "delete", "insert").otherwise(F.col("kind"))
-    return changes.withColumn("kind", kind).withColumns({"old": F.col("new"), "new": F.col("old")})
+    moved = F.coalesce(F.col("kind") == "update", F.lit(False))
+    out = changes
+    if key:
+        out = out.withColumns({k: F.when(moved, moved_key(k, changes.schema[k].dataType)).otherwise(F.col(k)) for k in key})
+    elif "key" in changes.columns:
+        now = F.transform_values("key", lambda k, v: F.when(moved & F.array_contains(F.map_keys("new"), k), F.try_element_at("new", k)).otherwise(v))
+        out = out.withColumn("key", now)
+    return out.withColumn("kind", kind).withColumns({"old": F.col("new"), "new": F.col("old")})
 
 
 def respelled(base: DataFrame, head: DataFrame, key: list[str], column: str, canonical) -> DataFrame:

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import text_of
+from ..functions.values import comparable, null_safe, text_of
 
 
 def duplicates(df: DataFrame, key: list[str], id_col: str | None = None) -> DataFrame:
     """Keys that more than one row holds: key, n, and ids (sorted, comma-joined) if an id column is given."""
-    out = [F.count("*").alias("n")]
-    if id_col:
-        out.append(F.array_join(F.transform(F.sort_array(F.collect_list(id_col)), lambda x: x.cast("string")), ",").alias("ids"))
-    return df.groupBy(*key).agg(*out).where("n > 1")
+    many = df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+    if not id_col:
+        return many
+    # Ids are gathered of repeated keys alone, once the counts have said which those are.
+    held = many.select(*[F.col(k).alias(f"__{k}") for k in key], "n")
+    met = df.select(*key, id_col).join(held, null_safe([(F.col(k), F.col(f"__{k}")) for k in key]))
+    ids = F.array_join(F.transform(F.sort_array(F.collect_list(id_col)), lambda x: x.cast("string")), ",")
+    return met.groupBy(*key, "n").agg(ids.alias("ids"))
 
 
 def equal_keys(df: DataFrame, key: str, as_type: Column) -> DataFrame:
@@ -35,21 +41,27 @@ def index_clashes(df: DataFrame, expressions: list[Column], where: Column | None
 def row_sets(base: DataFrame, head: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
     """Keys held by several rows on a side, and whether the sides hold the same multiset of rows.
 
-    Rows are counted by value before the sides meet, so a key with many rows costs one row for each value.
+    Both sides are counted by value in one aggregate of signed counts, in the columns' own types, so a key
+    with many rows costs one row for each value.
     """
-    def counted(df: DataFrame, sign: int) -> DataFrame:
-        row = F.to_json(F.struct(*[text_of(df, c).alias(c) for c in columns]), {"ignoreNullFields": "false"})
-        return df.groupBy(*key, F.sha2(row, 256).alias("row")).agg((F.count("*") * sign).alias("n"))
-
-    both = counted(base, -1).unionByName(counted(head, 1))
-    net = both.groupBy(*key, "row").agg(F.sum("n").alias("net"), F.sum(F.when(F.col("n") < 0, -F.col("n")).otherwise(0)).alias("b"), F.sum(F.when(F.col("n") > 0, F.col("n")).otherwise(0)).alias("h"))
+    kinds = {c: base.schema[c].dataType for c in columns}
+    value = lambda df, c: F.col(c) if comparable(kinds[c]) else text_of(df, c).alias(c)
+    side = lambda df, sign: df.select(*key, *[value(df, c) for c in columns], F.lit(sign).alias("__sign"))
+    both = side(base, -1).unionByName(side(head, 1))
+    net = both.groupBy(*key, *[c for c in columns if c not in key]).agg(F.sum("__sign").alias("net"), F.count_if(F.col("__sign") < 0).alias("b"), F.count_if(F.col("__sign") > 0).alias("h"))
     out = net.groupBy(*key).agg(F.sum("b").alias("base_rows"), F.sum("h").alias("head_rows"), (F.count_if(F.col("net") != 0) == 0).alias("same"))
     return out.where("base_rows > 1 or head_rows > 1")
 
 
 def key_candidates(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column, rows, different, is_key: whether no two rows share a value (exact; nulls are no values)."""
-    named = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), text_of(df, c).alias("value")) for c in columns])).alias("x")
-    each = df.select(named).select("x.*").groupBy("column", "value").agg(F.count("*").alias("n"))
-    out = each.groupBy("column").agg(F.sum("n").alias("rows"), F.count("value").alias("different"))
+    """column, rows, different, is_key: whether no two rows share a value (exact; nulls are no values).
+
+    Each column is counted by itself, so a scan reads that column alone and partial counts are what moves.
+    """
+
+    def one(c: str) -> DataFrame:
+        counts = df.groupBy(text_of(df, c).alias("value")).agg(F.count("*").alias("n"))
+        return counts.agg(F.lit(c).alias("column"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("value").alias("different"))
+
+    out = reduce(DataFrame.unionByName, [one(c) for c in columns])
     return out.select("column", "rows", "different", (F.col("rows") == F.col("different")).alias("is_key"))
