@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 SCHEMA = "id long, set_name string, direction string, set_sha256 string, applied_at timestamp, applied_by string, outcomes array<struct<index:int,model:string,key:string,kind:string,status:string,problem:string>>"
 
@@ -44,3 +45,26 @@ def edited(directory: DataFrame, log: DataFrame) -> DataFrame:
     """Sets whose file no longer has the digest under which it was applied last: set_name."""
     newest = latest(log).where("direction = 'up'").select("set_name", F.col("set_sha256").alias("was"))
     return directory.join(newest, "set_name").where("sha256 <> was").select("set_name")
+
+
+def outcome_of(log: DataFrame, changes: DataFrame) -> DataFrame:
+    """seq, status, problem of each change as a run recorded it: by its place, or, where the set was edited
+    since, by model, key and kind if just one outcome has them.
+
+    log holds the outcomes of one run (index, model, key, kind, status, problem); changes seq, model, key, kind.
+    """
+    spot = ["model", "key", "kind"]
+    here = log.select(F.col("index").alias("seq"), *spot, F.col("status").alias("__s1"), F.col("problem").alias("__p1"))
+    alone = log.groupBy(*spot).agg(F.count("*").alias("n"), F.min("status").alias("__s2"), F.min("problem").alias("__p2")).where("n = 1").drop("n")
+    met = changes.join(here, ["seq", *spot], "left").join(alone, spot, "left")
+    return met.select("seq", F.coalesce("__s1", "__s2").alias("status"), F.when(F.col("__s1").isNotNull(), F.col("__p1")).otherwise(F.col("__p2")).alias("problem"))
+
+
+def to_revert(log: DataFrame) -> DataFrame:
+    """What a revert has to take back, last change first: set_name, index, for changes that a run since the last down made."""
+    return made(log).where("made").select("set_name", "index", F.rank().over(Window.partitionBy("set_name").orderBy(F.col("index").desc())).alias("position"))
+
+
+def covered_gone(directory: DataFrame, covered: DataFrame) -> DataFrame:
+    """Sets that a recorded state covers and the directory no longer holds: name."""
+    return covered.select("name").distinct().join(directory.select("name"), "name", "left_anti")

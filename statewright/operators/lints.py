@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import float_reading_differs, is_zero, session_dependent, too_long
+from .diff import left_out
+from .groups import equal_keys
 
 
 def findings(df: DataFrame, kind: str, row: Column, at: Column, detail: Column | str, unsure: bool = False) -> DataFrame:
     said = F.lit(detail) if isinstance(detail, str) else detail
-    return df.where(at).select(F.lit(kind).alias("kind"), row.cast("string").alias("row"), said.alias("detail"), F.lit(unsure).alias("unsure"))
+    return df.where(at).select(F.lit(kind).alias("kind"), row.cast("string").alias("row"), said.cast("string").alias("detail"), F.lit(unsure).alias("unsure"))
 
 
 def zero_defaults(df: DataFrame, row: Column, defaults: dict[str, str]) -> DataFrame:
@@ -75,13 +77,34 @@ def by_kind(found: DataFrame) -> DataFrame:
     return found.groupBy("kind").agg(F.count("*").alias("n"), F.count_if("unsure").alias("unsure"))
 
 
-def worst(found: DataFrame, modes: dict[str, str]) -> DataFrame:
-    """mode: the worst that the findings' kinds come to; a kind without a mode is an error."""
+def worst(found: DataFrame, modes: dict[str, str], *by: str) -> DataFrame:
+    """by, mode: the worst that the findings' kinds come to; a kind without a mode is an error."""
     rank = F.lit(2)
     for kind, mode in modes.items():
         rank = F.when(F.col("kind") == kind, {"ignore": 0, "warn": 1, "error": 2}[mode]).otherwise(rank)
     top = F.coalesce(F.max(rank), F.lit(0))
-    return found.agg(F.when(top == 2, "error").when(top == 1, "warn").otherwise("ignore").alias("mode"))
+    return found.groupBy(*by).agg(F.when(top == 2, "error").when(top == 1, "warn").otherwise("ignore").alias("mode"))
+
+
+def equality(index: Index) -> bool:
+    """Whether an index keeps rows apart by equality: it is valid and names columns or expressions."""
+    return index.valid and bool(index.columns or index.expressions)
+
+
+def equal_key_findings(df: DataFrame, key: str, as_type: Column) -> DataFrame:
+    """Keys that differ as text and are one value to the column's type, as findings."""
+    held = equal_keys(df, key, as_type)
+    return held.select(F.lit("equal_key").alias("kind"), F.col("folded").cast("string").alias("row"), F.col("spellings").alias("detail"), F.lit(False).alias("unsure"))
+
+
+def left_out_findings(changes: DataFrame, key: list[str]) -> DataFrame:
+    """Inserts that do not write what other inserts write, as findings."""
+    return left_out(changes, key).select(F.lit("left_out").alias("kind"), F.to_json(F.struct(*key)).alias("row"), F.col("column").alias("detail"), F.lit(False).alias("unsure"))
+
+
+def advice_to_warn(found: DataFrame, policies: tuple[str, ...]) -> DataFrame:
+    """kind, advice: which policy would turn a kind's findings into warnings; kinds without a policy have none."""
+    return found.groupBy("kind").agg(F.count("*").alias("n")).where(F.col("kind").isin(*policies)).select("kind", F.concat(F.lit("policy "), "kind", F.lit(": warn lets "), F.col("n").cast("string"), F.lit(" through")).alias("advice"))
 
 
 @dataclass(frozen=True)

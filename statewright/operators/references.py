@@ -77,6 +77,72 @@ def cascaded(models: dict[str, DataFrame], order: list[str], refs: dict[str, dic
     return out
 
 
+def cascaded_names(models: dict[str, DataFrame], order: list[str], refs: dict[str, dict[str, str]], names: dict[str, str], moves: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """(models, moves): as cascaded, where a model's own name can be made of a reference.
+
+    names: model to the column that others call its rows by. Where that column is itself a reference that
+    moves, the model's names move with it, and so do the references to them, in dependency order.
+    """
+    out, known = dict(models), dict(moves)
+    for model in order:
+        for column, target in refs.get(model, {}).items():
+            if target not in known:
+                continue
+            if names.get(model) == column:
+                own = out[model].join(known[target].withColumnRenamed("from", "__f"), F.col(column) == F.col("__f")).select(F.col("__f").alias("from"), "to").distinct()
+                known[model] = own.unionByName(known[model]) if model in known else own
+            out[model] = followed(out[model], column, known[target])
+    return out, known
+
+
+def index_of(rows: DataFrame, key: list[str], refs: dict[str, str]) -> DataFrame:
+    """The reverse index of references: model, name (what is referred to), column, and the referring row's key."""
+    each = F.array(*[F.struct(F.lit(target).alias("model"), F.col(column).cast("string").alias("name"), F.lit(column).alias("column")) for column, target in refs.items()])
+    return rows.select(*key, F.explode(each).alias("r")).where("r.name is not null").select("r.model", "r.name", "r.column", *key)
+
+
+def refused_by(changes: DataFrame, refs: DataFrame, refused: DataFrame, seq: str = "seq") -> DataFrame:
+    """Changes that refer to a row which will not be there under that name.
+
+    refs: seq, model, name of what changes refer to; refused: model, name of rows whose rename was refused, or
+    whose new name an insert-only model does not take over.
+    """
+    hit = refs.join(refused.select("model", "name").distinct(), ["model", "name"], "left_semi")
+    return changes.join(hit.select(seq).distinct(), seq, "left_semi")
+
+
+def kept_names(base: DataFrame, head: DataFrame, key: list[str], ref: str) -> DataFrame:
+    """Names that the files give to rows which keep the base's name, because the files own no column of theirs: name, kept."""
+    return moved(base, head, key, ref).where("`to` is not null").select(F.col("to").alias("name"), F.col("from").alias("kept"))
+
+
+def missing_refs(refs: DataFrame, live: DataFrame, made: DataFrame) -> DataFrame:
+    """References that neither a live row nor an earlier change of the set stands for.
+
+    refs: seq, model, name; live: model, name; made: seq, model, name of what the set's inserts and renames make.
+    """
+    lost = refs.join(live.select("model", "name").distinct(), ["model", "name"], "left_anti")
+    first = made.groupBy("model", "name").agg(F.min("seq").alias("__made"))
+    met = lost.join(first, ["model", "name"], "left")
+    return met.where("__made is null or __made >= seq").select("seq", "model", "name")
+
+
+def removed_refs(refs: DataFrame, lost: DataFrame) -> DataFrame:
+    """References to rows that the set itself deletes or renames away before: seq, model, name, by (the change that does).
+
+    refs: seq, model, name; lost: seq, model, name.
+    """
+    gone = lost.groupBy("model", "name").agg(F.min("seq").alias("by"))
+    return refs.join(gone, ["model", "name"]).where("by < seq").select("seq", "model", "name", "by")
+
+
+def still_pointing(deletes: DataFrame, rows: DataFrame, ref: str, id_col: str, live: str | None = None) -> DataFrame:
+    """Softly deleted rows that live rows still point at: id, pointing. live is the condition of a live referring row."""
+    held = rows.where(F.expr(live)) if live else rows
+    counts = held.where(F.col(ref).isNotNull()).groupBy(F.col(ref).alias("__ref")).agg(F.count("*").alias("pointing"))
+    return deletes.join(counts, F.col(id_col) == F.col("__ref")).select(F.col(id_col).alias("id"), "pointing")
+
+
 def newest_deleted(rows: DataFrame, key: list[str], deleted: str) -> DataFrame:
     """By key, the newest deletion: key, deleted_at."""
     return rows.where(F.col(deleted).isNotNull()).groupBy(*key).agg(F.max(deleted).alias("deleted_at"))
