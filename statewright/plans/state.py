@@ -51,3 +51,13 @@ def unaccounted(manifest: dict, names: list[str]) -> list[str]:
     """Sets of the directory that the recorded state neither covers nor was based on."""
     covers, base = manifest["covers"], manifest.get("base") or ""
     return [n for n in sorted(names) if n > covers or base < n < covers and n not in manifest.get("includes", [covers])]
+
+
+def lineage_sentence(name: str, manifest: dict) -> str:
+    """Why a set is not accounted for by a recorded state."""
+    covers, base = manifest.get("covers") or "", manifest.get("base") or ""
+    if name > covers:
+        return f"{name} is newer than the recorded state, which covers sets up to {covers or 'none'}"
+    if base and name > base:
+        return f"{name} lies between {base} and {covers}, and the recorded state was made without it"
+    return f"{name} is older than the recorded state and not among the sets it covers"

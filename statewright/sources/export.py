@@ -5,10 +5,10 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import text_of
+from ..functions.values import beyond_float, is_zero, json_text, null_safe, text_of
 from ..operators.ordering import topological
 from ..plans.config import Config, Model
 from .rowfiles import Row, parse, resolve, scalar
@@ -96,6 +96,65 @@ def export(config: Config, tables: dict[str, DataFrame], header: list[str] = ())
     return text
 
 
+def keep_owned(live: DataFrame, files: DataFrame, model: Model) -> DataFrame:
+    """What an export may write of a model's live rows, by its mode.
+
+    sync owns all of them. upsert owns the rows that the files hold; insert owns those too, and the files'
+    values stand, since the files own no column once a row is there. Values of insert-only columns are the
+    files' as well. Ids that the files do not own are left out.
+    """
+    key = list(model.key)
+    out = live
+    if model.mode != "sync":
+        out = live.join(files.select(*[F.col(k).alias(f"__{k}") for k in key]).distinct(), null_safe([(F.col(k), F.col(f"__{k}")) for k in key]), "left_semi")
+    kept = [c for c in files.columns if c in live.columns and c not in key and (model.mode == "insert" or c in model.insert_only)]
+    if kept:
+        said = files.select(*[F.col(k).alias(f"__{k}") for k in key], *[F.col(c).alias(f"__f_{c}") for c in kept], F.lit(True).alias("__there"))
+        met = out.join(said, null_safe([(F.col(k), F.col(f"__{k}")) for k in key]), "left")
+        out = met.select(*[F.when(F.col("__there"), F.col(f"__f_{c}").cast(live.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in kept else F.col(c) for c in live.columns])
+    return out if model.ids == "files" or not model.id else out.drop(model.id)
+
+
+def hazards(df: DataFrame, key: list[str], defaults: dict[str, str]) -> DataFrame:
+    """Values that a load would replace by a column's default: key, column, hazard."""
+    each = F.array(*[F.when(F.col(c).isNull(), F.struct(F.lit(c).alias("column"), F.lit(f"null, a load writes {d}").alias("hazard"))).when(is_zero(df, c) & F.lit(d not in ("", "0", "false")), F.struct(F.lit(c).alias("column"), F.lit(f"zero, a load writes {d}").alias("hazard"))) for c, d in defaults.items()])
+    return df.select(*key, F.explode(F.filter(each, lambda x: x.isNotNull())).alias("h")).select(*key, "h.*")
+
+
+def json_problem(text: Column) -> Column:
+    """Why a JSON value cannot be written into a row file; null where it can."""
+    said = F.trim(text)
+    return (
+        F.when(text.isNull(), F.lit(None).cast("string"))
+        .when(json_text(text).isNull(), "no JSON")
+        .when(said == "null", "JSON null reads back as no value")
+        .when(said.startswith('"'), "a JSON string reads back as a text")
+        .when(F.size(beyond_float(text)) > 0, F.concat(F.lit("beyond a 64-bit float: "), F.array_join(beyond_float(text), ", ")))
+    )
+
+
+def export_files(config: Config, tables: dict[str, DataFrame], files: dict[str, list[str]], header: list[str] = ()) -> dict[str, str]:
+    """file to text, each model in the file that owns it; files are read in the order given.
+
+    A model that refers to one in a later file would name rows which are not there yet: that is refused. A
+    model that no file owns goes to the last one.
+    """
+    owner = {m: f for f, models in files.items() for m in models}
+    last = [*files][-1]
+    order = config.order()
+    rank = {f: i for i, f in enumerate(files)}
+    for m in order:
+        for column, target in config.models[m].refs.items():
+            if target != m and rank[owner.get(target, last)] > rank[owner.get(m, last)]:
+                raise ExportError(f"{m}.{column} refers to {target}, which {owner.get(target, last)} holds, a later file")
+    whole = export(config, tables, header)
+    text: dict[str, list[str]] = {f: [f"# {h}" for h in header] for f in files}
+    for block in re.split(r"(?m)^(?=- model: )", whole)[1:]:
+        model = block.split("\n", 1)[0].removeprefix("- model: ")
+        text[owner.get(model, last)].append(block.rstrip("\n"))
+    return {f: "\n".join(lines) + "\n" for f, lines in text.items()}
+
+
 def verify(text: str, config: Config, rows: list[tuple[str, dict]]) -> None:
     """Read the text back; every value must be the one that was written."""
     back: list[Row] = resolve(parse(text), config)
