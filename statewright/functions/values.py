@@ -44,9 +44,16 @@ def expanded(text: Column) -> Column:
     return decimal_text(F.when(said.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]{1,4})?$"), F.concat(sign, plain)))
 
 
-def number_text(column: Column) -> Column:
-    """A binary number as exact decimal text, the shortest that reads back as it; NaN and infinities keep their names."""
+def number_text(column: Column, double: bool = True) -> Column:
+    """A binary number as exact decimal text, the shortest that reads back as it; NaN and infinities keep their names.
+
+    The JVM's own text of a double may have a digit more than it needs, so 15 and 16 digits are tried first.
+    """
     said = column.cast("string")
+    if double:
+        short = [F.format_string(f"%.{n}e", column) for n in (14, 15)]
+        fits = [F.when(s.try_cast("double") == column, s) for s in short]
+        said = F.when(said.rlike("^-?[0-9]"), F.coalesce(*fits, said)).otherwise(said)
     return F.coalesce(expanded(said), said)
 
 
@@ -87,7 +94,7 @@ def text_of(df: DataFrame, name: str) -> Column:
     if isinstance(kind, T.DecimalType):
         return decimal_text(c.cast("string"))
     if isinstance(kind, (T.FloatType, T.DoubleType)):
-        return number_text(c)
+        return number_text(c, isinstance(kind, T.DoubleType))
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return instant_text(c, isinstance(kind, T.TimestampType))
     if isinstance(kind, T.DateType):

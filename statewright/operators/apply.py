@@ -141,16 +141,16 @@ def apply_scoped(table: DataFrame, changes: DataFrame, key: list[str], now: Colu
     old = history.withColumn("__rid", digest)
     inserts = outcomes.where("status = 'applied' and kind = 'insert'")
     old_map = F.map_from_entries(F.array(*[F.struct(F.lit(c).alias("k"), text_of(history, c).alias("v")) for c in values])) if values else F.create_map().cast("map<string,string>")
-    past = old.select(*[F.col(k).alias(f"__{k}") for k in key], F.col(soft_delete).alias("__when"), "__rid", old_map.alias("__map"), (text_of(history, id_col) if id_col else F.lit(None).cast("string")).alias("__id"))
+    past = old.select(*[F.col(k).alias(f"__{k}") for k in key], F.col(soft_delete).alias("__past_when"), "__rid", old_map.alias("__map"), (text_of(history, id_col) if id_col else F.lit(None).cast("string")).alias("__past_id"))
     met = inserts.join(past, null_safe([(F.col(k), F.col(f"__{k}")) for k in key]))
     bare = F.map_filter("new", lambda k, v: ~k.isin(*[c for c in (id_col, soft_delete, *key) if c]))
     same = _agrees(F.col("__map"), bare)
     newest = met.groupBy(*key).agg(
-        F.max(F.when(same, F.struct("__when", "__rid"))).alias("__top"),
-        F.max(F.when(same, F.col("__when"))).alias("__at"),
-        F.bool_or(~same & F.col("__id").eqNullSafe(F.try_element_at("new", F.lit(id_col or ""))) & F.col("__id").isNotNull()).alias("__other"),
+        F.max(F.when(same, F.struct("__past_when", "__rid"))).alias("__top"),
+        F.max(F.when(same, F.col("__past_when"))).alias("__at"),
+        F.bool_or(~same & F.col("__past_id").eqNullSafe(F.try_element_at("new", F.lit(id_col or ""))) & F.col("__past_id").isNotNull()).alias("__other"),
     )
-    ties = met.where(same).join(newest.select(*[F.col(k).alias(f"__g_{k}") for k in key], "__at"), null_safe([(F.col(k), F.col(f"__g_{k}")) for k in key])).where(F.col("__when") == F.col("__at")).groupBy(*key).agg(F.count("*").alias("__ties"))
+    ties = met.where(same).join(newest.select(*[F.col(k).alias(f"__g_{k}") for k in key], "__at"), null_safe([(F.col(k), F.col(f"__g_{k}")) for k in key])).where(F.col("__past_when") == F.col("__at")).groupBy(*key).agg(F.count("*").alias("__ties"))
     decided = newest.join(ties.select(*[F.col(k).alias(f"__y_{k}") for k in key], "__ties"), null_safe([(F.col(k), F.col(f"__y_{k}")) for k in key]), "left")
     decided = decided.select(*[F.col(k).alias(f"__d_{k}") for k in key], F.when(F.col("__ties") > 1, "duplicate").when(F.col("__ties") == 1, "restored").when(F.col("__other"), "changed").alias("__said"), F.col("__top.__rid").alias("__back"))
     outcomes = outcomes.join(decided, (F.col("kind") == "insert") & (F.col("status") == "applied") & null_safe([(F.col(k), F.col(f"__d_{k}")) for k in key]), "left")

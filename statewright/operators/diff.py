@@ -28,7 +28,7 @@ class _Pair:
 
     def __init__(self, base: DataFrame, head: DataFrame, key: list[str], columns: list[str] | None):
         self.key = key
-        self.columns = columns or [c for c in head.columns if c not in key]
+        self.columns = [c for c in columns or head.columns if c not in key]
         self.base = [c for c in self.columns if c in base.columns]
         self.head = [c for c in self.columns if c in head.columns]
         b = base.select(*[F.col(c).alias(f"__b_{c}") for c in [*key, *self.base]], F.lit(True).alias("__b"))

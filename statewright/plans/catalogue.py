@@ -301,7 +301,8 @@ def f20_canonical_decimal(spark, sf_dir):
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 = 0 THEN '' ELSE '.' || rtrim(lpad(CAST(microsecond(ts) % 1000000 AS VARCHAR), 6, '0'), '0') END || 'Z' AS text FROM events")
 def f22_instant_text(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", values.instant_text(F.col("ts")).alias("text"))
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", values.text_of(e, "ts").alias("text"))
 
 
 @query("""SELECT event_id, '{"k":' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}' AS text FROM events""")
