@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -37,22 +39,40 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
-def release(spark: SparkSession | None = None) -> None:
-    """Delete the staged tables (of one session); results that still read them must have been written before."""
+def taken(spark: SparkSession) -> list[str]:
+    """The paths of a session's staged tables."""
+    return [path for owner, path in _SCRATCH if owner is spark]
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged tables; results that still read them must have been written before."""
+    gone = set(paths)
     for owner, path in list(_SCRATCH):
-        if spark is None or owner is spark:
+        if owner is spark and path in gone:
             _SCRATCH.remove((owner, path))
             try:
-                jvm = owner._jvm
-                target = jvm.org.apache.hadoop.fs.Path(path)
+                target = owner._jvm.org.apache.hadoop.fs.Path(path)
                 target.getFileSystem(owner._jsc.hadoopConfiguration()).delete(target, True)
             except Exception:  # noqa: BLE001  the session may have ended already
                 pass
 
 
+def release(spark: SparkSession | None = None) -> None:
+    """Delete the staged tables (of one session)."""
+    for owner in list({id(o): o for o, _ in _SCRATCH}.values()):
+        if spark is None or owner is spark:
+            drop(owner, taken(owner))
+
+
 atexit.register(release)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files that nothing refers to any more; its driver finds out by collecting garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def staged(df: DataFrame, label: str, *, order: list[str] | None = None, bloom: str | None = None, partition: str | None = None, codec: str | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: computed once, safe from lost executors."""
     spark = df.sparkSession
@@ -65,9 +85,18 @@ def staged(df: DataFrame, label: str, *, order: list[str] | None = None, bloom:
     if partition:
         writer = writer.partitionBy(partition)
     writer.parquet(path)
+    sweep(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let fewer documents at a time go to a Python worker, unless the session says otherwise: they can be long, and
+    executors hold a whole batch on either side."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -99,11 +128,15 @@ def single(docs: DataFrame, repeated: DataFrame, digest: Column, mark: str) -> D
 
 
 _KEPT: dict[object, object] = {}
+_LIBC = ctypes.CDLL(None)
 
 
 def kept(name: object, make):
     """What a Python worker keeps from task to task: one thing at a time, so that no operator's caches outlive its turn."""
     if name not in _KEPT:
         _KEPT.clear()
+        gc.collect()
+        if hasattr(_LIBC, "malloc_trim"):
+            _LIBC.malloc_trim(0)
         _KEPT[name] = make()
     return _KEPT[name]

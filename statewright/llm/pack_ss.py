@@ -2,9 +2,11 @@
 
 Documents come one after the other. What a document has beyond whole windows goes to the fill level
 (or to a new window) for which the sum over all levels of the squared number of partly filled windows
-grows least; the numbers are kept in a level array. Windows still open at a task's end are poured
-together (documents may be cut freely), and the last one is cut at powers of two, which need no padding.
-Each task packs its own part of the input in one pass; only counts of windows are shared between tasks.
+grows least; the numbers are kept in a level array. Once as many windows are open as may be, a document is cut
+to close one: the one whose closing makes that sum shrink most, the rest of the document being placed as
+before. The few windows still open at a task's end are poured together (documents may be cut freely), and
+the last one is cut at powers of two, which need no padding. Each task packs its own part of the input in
+one pass; only counts of windows are shared between tasks.
 """
 
 from __future__ import annotations
@@ -28,9 +30,9 @@ Piece = tuple[object, int, bytes, int]
 
 
 class Packer:
-    """Packs pieces online; done(pieces) is called with each finished window's pieces."""
+    """Packs pieces online; done(pieces, poured) is called with each finished window's pieces."""
 
-    def __init__(self, window: int, done, max_open: int = 1024):
+    def __init__(self, window: int, done, max_open: int = 64):
         self.window, self.done, self.max_open = window, done, max_open
         self.level = np.zeros(window + 1, dtype=np.int64)
         self.open: dict[int, list[list[Piece]]] = {}
@@ -40,13 +42,33 @@ class Packer:
         n = len(ids) // 4
         whole = n - n % self.window
         for at in range(0, whole, self.window):
-            self.done([(doc_id, at, ids[4 * at : 4 * (at + self.window)], n)])
+            self.done([(doc_id, at, ids[4 * at : 4 * (at + self.window)], n)], False)
         if whole < n:
             self._place((doc_id, whole, ids[4 * whole :], n), n - whole)
 
+    def _take(self, at: int) -> list[Piece]:
+        """An open window of a fill level; level 0 is a new one."""
+        if not at:
+            return []
+        self.level[at] -= 1
+        self.n_open -= 1
+        return self.open[at].pop()
+
     def _place(self, piece: Piece, size: int) -> None:
-        w = self.window
-        level = self.level
+        w, level = self.window, self.level
+        if self.n_open >= self.max_open:
+            # Closing a window of level l by cutting the document takes 2 * level[l] - 1 off the sum.
+            closable = level[w - size : w] if size < w else level[1:w]
+            if closable.any():
+                at = w - len(closable) + int(np.argmax(closable))
+                cut = w - at
+                doc_id, start, ids, n = piece
+                pieces = self._take(at)
+                pieces.append((doc_id, start, ids[: 4 * cut], n))
+                self.done(pieces, False)
+                if cut < size:
+                    self._place((doc_id, start + cut, ids[4 * cut :], n), size - cut)
+                return
         # Growth of the sum of squares for each level that has room; level 0 is a new window.
         old = level[: w - size + 1]
         new = level[size:]
@@ -54,25 +76,20 @@ class Packer:
         cost[-1] = 0
         cost[1:] += 1 - 2 * old[1:]
         cost[1:][old[1:] == 0] = np.iinfo(np.int64).max
+        if self.n_open >= self.max_open:
+            cost[0] = np.iinfo(np.int64).max
         at = len(cost) - 1 - int(np.argmin(cost[::-1]))
-        if at:
-            pieces = self.open[at].pop()
-            level[at] -= 1
-            self.n_open -= 1
-        else:
-            pieces = []
+        pieces = self._take(at)
         pieces.append(piece)
         if at + size == w:
-            self.done(pieces)
+            self.done(pieces, False)
             return
         self.open.setdefault(at + size, []).append(pieces)
         level[at + size] += 1
         self.n_open += 1
-        if self.n_open > self.max_open:
-            self._pour(last=False)
 
-    def _pour(self, last: bool) -> None:
-        """Join the open windows: all but one become full."""
+    def finish(self) -> None:
+        """Join the windows still open: all but the last become full."""
         w, current, fill = self.window, [], 0
         waiting = [p for at in sorted(self.open, reverse=True) for pieces in self.open[at] for p in pieces]
         self.open, self.n_open = {}, 0
@@ -83,14 +100,10 @@ class Packer:
                 current.append((doc_id, start, ids[: 4 * take], n))
                 start, ids, fill = start + take, ids[4 * take :], fill + take
                 if fill == w:
-                    self.done(current)
+                    self.done(current, True)
                     current, fill = [], 0
         if not current:
             return
-        if not last:
-            self.open[fill], self.n_open = [current], 1
-            self.level[fill] = 1
-            return
         part, left = [], fill
         size = 1 << (left.bit_length() - 1)
         room = size
@@ -100,29 +113,26 @@ class Packer:
                 part.append((doc_id, start, ids[: 4 * take], n))
                 start, ids, room = start + take, ids[4 * take :], room - take
                 if room == 0:
-                    self.done(part)
+                    self.done(part, True)
                     part, left = [], left - size
                     size = room = 1 << (left.bit_length() - 1) if left else 0
 
-    def finish(self) -> None:
-        self._pour(last=True)
-
 
-def _packed(path: str, window: int, end_id: int, id_type: pa.DataType):
-    schema = pa.schema([("doc_id", id_type), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("part", pa.int32()), ("own", pa.int64()), ("offset", pa.int64())])
+def _packed(path: str, window: int, end_id: int, id_type: pa.DataType, cache: int):
+    schema = pa.schema([("doc_id", id_type), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("part", pa.int32()), ("own", pa.int64()), ("offset", pa.int64()), ("poured", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = encoder(path, spaces=False)
+        codes = encoder(path, spaces=False, limit=cache)
         end = np.array([end_id], dtype="<u4").tobytes()
         part = TaskContext.get().partitionId()
         rows: list[tuple] = []
         count = 0
 
-        def done(pieces: list[Piece]) -> None:
+        def done(pieces: list[Piece], poured: bool) -> None:
             nonlocal count
             offset = 0
             for doc_id, start, ids, n in pieces:
-                rows.append((doc_id, start, len(ids) // 4, zlib.crc32(ids), n, part, count, offset))
+                rows.append((doc_id, start, len(ids) // 4, zlib.crc32(ids), n, part, count, offset, poured))
                 offset += len(ids) // 4
             count += 1
 
@@ -144,17 +154,19 @@ def _packed(path: str, window: int, end_id: int, id_type: pa.DataType):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, *, window: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+def pack(docs: DataFrame, tokenizer: str, *, window: int = 4096, end_id: int = 2, cache: int = 250_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, poured.
 
-    tokenizer is the path of a vocabulary whose pre-tokens never hold white space. Null and empty texts
+    poured tells the pieces of the few sequences that were filled from what was open at a task's end.
+    tokenizer is the path of a vocabulary whose pre-tokens never hold white space; cache bounds the words that a
+    Python worker remembers (memory against time, not results). Null and empty texts
     are documents of the end id alone. Rows that repeat an identifier, or have none, are documents of
     their own. An empty table gives an empty result. Only id_col and text_col are read.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind, id_type = narrow.schema["doc_id"].dataType.simpleString(), to_arrow_type(narrow.schema["doc_id"].dataType)
-    pieces = staged(narrow.mapInArrow(_packed(tokenizer, window, end_id, id_type), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, part int, own long, offset long"), "ss-pieces")
-    # One row for each task that packed: their running count gives the windows their numbers.
+    pieces = staged(narrow.mapInArrow(_packed(tokenizer, window, end_id, id_type, cache), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, part int, own long, offset long, poured boolean"), "ss-pieces")
+    # One row for each task that packed, however long the documents: their running count numbers the windows.
     counts = pieces.groupBy("part").agg((F.max("own") + 1).alias("c"))
     before = counts.select("part", (F.sum("c").over(Window.orderBy("part")) - F.col("c")).alias("before"))
-    return pieces.join(F.broadcast(before), "part").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("own")).alias("sequence_id"), "offset")
+    return pieces.join(before, "part").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("own")).alias("sequence_id"), "offset", "poured")

@@ -13,6 +13,8 @@ import re
 
 import numpy as np
 
+from .common import kept
+
 #: Letters of Latin-1, for which the library's letter class and case folding need no second look.
 LATIN = "À-ÖØ-öø-ÿ"
 SUFFIXES = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -123,13 +125,6 @@ class Encoder:
         yield text[at:]
 
 
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
-
-
-def encoder(path: str, *, spaces: bool) -> Encoder:
-    """One encoder for each Python worker, kept from task to task."""
-    key = (path, spaces)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(path, spaces=spaces)
-    return _ENCODERS[key]
+def encoder(path: str, *, spaces: bool, limit: int = 250_000) -> Encoder:
+    """One encoder for each Python worker, kept from task to task; limit is the entries of its caches."""
+    return kept((path, spaces, limit), lambda: Encoder(path, spaces=spaces, limit=limit))

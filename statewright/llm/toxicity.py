@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import staged
+from .common import kept, staged
 from .tokens import _Generations
 
 #: Letters that a sign may stand for.
@@ -71,6 +71,7 @@ def _symbol(ch: str) -> int:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Trigram counts of one task's texts: at most N^3 rows."""
+    kept("language", object)  # the caches of an operator before are no longer wanted
     lut, total = _lut(), np.zeros(N**3, dtype=np.int64)
 
     def add(parts: list[str]) -> None:
@@ -173,7 +174,7 @@ class Decoder:
 class Reader:
     """Turns a text into tokens and a token into features, with bounded caches."""
 
-    def __init__(self, model: np.ndarray, weights: dict[str, float] | None = None, limit: int = 250_000):
+    def __init__(self, model: np.ndarray, weights: dict[str, float] | None = None, limit: int = 100_000):
         self.decoder, self.weights = Decoder(model), weights or {}
         self.score_of = _Generations(self._weight, limit)
 
@@ -288,17 +289,11 @@ def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 8000, min_z
     return model, {f: float(w[i]) for f, i in index.items()}, b
 
 
-_READERS: dict[str, Reader] = {}
-
-
 def _scored(model_b, weights_b, bias: float, name: str, id_type: pa.DataType):
     schema = pa.schema([("doc_id", id_type), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _READERS:
-            _READERS.clear()
-            _READERS[name] = Reader(model_b.value, weights_b.value)
-        reader = _READERS[name]
+        reader = kept(name, lambda: Reader(model_b.value, weights_b.value))
         for batch in batches:
             scores = [reader.score(t.as_py(), bias) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], schema=schema)
@@ -339,10 +334,7 @@ def civil(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     at = schema.names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _READERS:
-            _READERS.clear()
-            _READERS[name] = Reader(model_b.value, weights_b.value)
-        reader = _READERS[name]
+        reader = kept(name, lambda: Reader(model_b.value, weights_b.value))
         for batch in batches:
             yield batch.filter(pa.array([reader.score(t.as_py(), bias) < 0.5 for t in batch.column(at)], pa.bool_()))
 

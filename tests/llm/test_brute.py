@@ -197,12 +197,35 @@ def test_packing(documents, texts, odd, empty):
 
 def test_packer_bounds_open_windows():
     out = []
-    p = pack_ss.Packer(64, out.append, max_open=5)
-    for i in range(300):
-        p.add(i, np.arange(40, dtype="<u4").tobytes())
-        assert p.n_open <= 6
+    p = pack_ss.Packer(64, lambda pieces, poured: out.append((pieces, poured)), max_open=5)
+    rng = np.random.default_rng(2)
+    sizes = [40] * 300 + [int(x) for x in rng.integers(1, 200, 2000)]
+    for i, n in enumerate(sizes):
+        p.add(i, np.arange(n, dtype="<u4").tobytes())
+        assert p.n_open <= 5 and p.level.sum() == p.n_open
+    before = len(out)
     p.finish()
-    assert sum(len(x[2]) // 4 for w in out for x in w) == 300 * 40
+    assert sum(len(x[2]) // 4 for w, _ in out for x in w) == sum(sizes)
+    assert all(sum(len(x[2]) // 4 for x in w) == 64 and not poured for w, poured in out[:before]) and all(poured for _, poured in out[before:])
+    assert len(out) - before <= 5 + 6
+
+
+def test_packer_minimises_the_sum_of_squares():
+    """Each placement against all levels that have room, counted anew."""
+    rng = np.random.default_rng(4)
+    p = pack_ss.Packer(32, lambda pieces, poured: None, max_open=10_000)
+    for i, n in enumerate(rng.integers(1, 32, 800).tolist()):
+        level = p.level.copy()
+
+        def after(at, n=n, level=level):
+            new = level.copy()
+            new[at] -= at > 0
+            new[at + n] += at + n < 32
+            return int((new[1:32] ** 2).sum())
+
+        best = min(after(at) for at in range(33 - n) if at == 0 or level[at])
+        p.add(i, np.zeros(n, dtype="<u4").tobytes())
+        assert int((p.level[1:32] ** 2).sum()) == best
 
 
 def test_token_shards(spark, documents, texts, odd, empty):
@@ -373,6 +396,68 @@ def test_reader_takes_long_words(documents):
     assert reader.score("x " + "ab" * 200, 0.0) > 0.8 and reader.score("ab" * 199, 0.0) == 0.5
 
 
+def passage_truth(docs, min_words=50, similarity=0.8):
+    """Documents that hold a window of min_words words similar to one of another document, by all pairs of windows."""
+    size = min_words - 4
+    sets = {}
+    for d, text in docs:
+        h = para_minhash.shingle_hashes(para_minhash.words_of(text))
+        sets[d] = [frozenset(h[i : i + size].tolist()) for i in range(len(h) - size + 1)]
+    hit = set()
+    for a, b in itertools.combinations(sets, 2):
+        whole = frozenset().union(*sets[a]) & frozenset().union(*sets[b])
+        if len(whole) < similarity * size / 2:
+            continue
+        if any(len(x & whole) and len(x & y) >= similarity * len(x | y) for x in sets[a] if len(x & whole) >= similarity * size / 2 for y in sets[b]):
+            hit |= {a, b}
+    return hit
+
+
+def passage_corpus(rng, lengths, edits, docs=60):
+    vocabulary = [f"w{x}" for x in range(4000)]
+    say = lambda n: [str(x) for x in rng.choice(vocabulary, n)]
+    originals = [say(n) for n in lengths]
+    rows = []
+    for d in range(docs):
+        words = say(int(rng.integers(60, 200)))
+        if d % 2 == 0:
+            passage = list(originals[d // 2 % len(originals)])
+            for _ in range(edits if d // 2 >= len(originals) else 0):
+                passage[int(rng.integers(len(passage)))] = "edited"
+            at = int(rng.integers(len(words)))
+            words[at:at] = passage
+        rows.append((d, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize(("lengths", "edits"), [([51, 55, 60, 80, 120, 300], 0), ([52, 56, 60, 64, 80, 100], 1), ([100, 120, 150, 200, 250, 300], 2)])
+def test_passages_against_all_pairs_of_windows(spark, lengths, edits):
+    rng = np.random.default_rng(17 + edits)
+    rows = passage_corpus(rng, lengths, edits)
+    want = passage_truth(rows)
+    got = para_minhash.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {r["doc_id"] for r in got}
+    assert found <= want and len(want) >= 20
+    assert len(found) >= (0.9 if edits else 1.0) * len(want)
+    assert all(r["n_words"] >= 50 for r in got)
+
+
+def test_passages_of_a_crowd(spark):
+    """A hundred variants of one passage, each near the original alone, which comes last."""
+    rng = np.random.default_rng(23)
+    vocabulary = [f"w{x}" for x in range(4000)]
+    say = lambda n: [str(x) for x in rng.choice(vocabulary, n)]
+    original = say(110)
+    rows = []
+    for d in range(100):
+        passage = [w if rng.random() > 0.015 else f"e{rng.integers(10**6)}" for w in original]
+        rows.append((d, " ".join(say(30) + passage + say(30))))
+    rows.append((1000, " ".join(say(20) + original + say(20))))
+    got = para_minhash.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({r["doc_id"] for r in got}) >= 96 and 1000 in {r["doc_id"] for r in got}
+    assert sum(r["component_id"] == 0 for r in got) >= 0.8 * len(got)
+
+
 def test_passages(spark, empty, odd):
     rng = np.random.default_rng(5)
     vocabulary = [f"w{rng.integers(10**6)}" for _ in range(3000)]
@@ -425,3 +510,67 @@ def test_runs_ask_each_other(spark):
     # Filters that are too small let entries through and lose none.
     small = exact_lsm.elsewhere(entries, 300, 4, 1).collect()
     assert len(small) == len(got) and all(r["seen"] for r in small if len(runs_of[r["digest"]]) > 1)
+
+
+def test_personal_data_beyond_the_patterns(spark):
+    """Looser spans are added where the labelers that agree elsewhere speak for them, and only there."""
+    yes = ["contact: bob.smith [at] example.com please", "call me at 555-234-5678 today", "my card 4111 1111 1111 1112 number"]
+    no = ["order 123456789012345 of page 12", "isbn 978316148410012 in print", "release 111-234-5678 of order"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(yes * 30 + no * 30)], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.scan(docs).collect()}
+    assert [got[i] for i in range(3)] == ["email:9:35", "phone:11:23", "card:8:27"]
+    assert all(got[i] == "" for i in range(90, 180))
+
+
+def test_reliabilities_follow_the_labelers():
+    """Votes drawn from labelers of known reliability: the posterior is near what Bayes' rule gives for the truth."""
+    rng = np.random.default_rng(6)
+    right = (0.9, 0.8, 0.7)
+    counts, truth = collections.Counter(), collections.Counter()
+    for _ in range(6000):
+        y = int(rng.random() < 0.4)
+        code = 3
+        for p in right:
+            code = code * 3 + (1 + (y if rng.random() < p else 1 - y))
+        counts[code * pii.SHAPES] += 1
+        truth[code * pii.SHAPES] += y
+    got = pii.reliabilities(dict(counts))
+    for code, n in counts.items():
+        _, votes, _ = pii._decoded(code)
+        odds = 0.4 / 0.6
+        for p, v in zip(right, votes, strict=True):
+            odds *= p / (1 - p) if v == 2 else (1 - p) / p
+        assert abs(got[code] - odds / (1 + odds)) < 0.12, (votes, n)
+    fitted = pii.classifier(dict(counts))
+    assert all((fitted[c] >= 0.5) == (truth[c] >= 0.5 * counts[c]) for c in counts if abs(truth[c] / counts[c] - 0.5) > 0.1)
+
+
+def test_secret_models_are_counted(spark, documents):
+    """The log-likelihood ratios against counts by hand."""
+    docs = documents.select("doc_id", "text")
+    spans = secrets._spans(docs)
+    got = {r["g"]: r["ratio"] for r in secrets.model(docs, spans, sample_docs=10**6, samples=5).collect()}
+    ordinary, random = collections.Counter(), collections.Counter()
+    words = {(r["doc_id"], r["text"]) for r in docs.where("text is not null").collect()}
+    for _, text in words:
+        w = [x for x in re.split("[^A-Za-z0-9]+", text) if re.fullmatch("[A-Za-z]{2,}", x)]
+        for i, (a, b) in enumerate(zip(w, w[1:], strict=False)):
+            b = b.lower()
+            said = (f"{a.upper()}_{b.upper()}", a + b.capitalize(), f"{a}-{b}-{i % 100}", f"{a}_{b}")[i % 4]
+            ordinary.update(said[k : k + 2] for k in range(len(said) - 1))
+    import base64
+
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    for i in range(5):
+        d = hashlib.sha256(str(i).encode()).digest()
+        b = base64.b64encode(d).decode()
+        forms = [b, d.hex().upper()[:40], d.hex(), b.translate(str.maketrans("+/=" + lower, "789" + lower.upper())), b.translate(str.maketrans("+/=", "-__"))]
+        for s in forms:
+            random.update(s[k : k + 2] for k in range(len(s) - 1))
+    for r in spans.where("kind < 3").collect():
+        random.update(r["value"][k : k + 2] for k in range(len(r["value"]) - 1))
+    total = lambda c, x: sum(c[x + y] for y in secrets.ALPHABET)
+    v = len(secrets.ALPHABET)
+    for g, ratio in list(got.items())[::37]:
+        want = np.log((random[g] + 0.5) / (total(random, g[0]) + 0.5 * v)) - np.log((ordinary[g] + 0.5) / (total(ordinary, g[0]) + 0.5 * v))
+        assert abs(ratio - want) < 1e-9, g
