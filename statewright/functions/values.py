@@ -6,6 +6,7 @@ the executors; what only text can say (numbers of more than 38 digits) is canoni
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -18,6 +19,11 @@ MOVING = ("now", "today", "tomorrow", "yesterday", "epoch", "infinity", "-infini
 NIL_UUID = "00000000-0000-0000-0000-000000000000"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def decimal_text(text: Column) -> Column:
     """A plain decimal numeral in its one spelling: no sign on zero, no zeros that say nothing. Null if it is none."""
     said = F.trim(text)
@@ -31,7 +37,10 @@ def decimal_text(text: Column) -> Column:
 
 def expanded(text: Column) -> Column:
     """A numeral without its exponent: 1.5e3 as 1500, 1E-9 as 0.000000001. Null where it is no numeral."""
-    said = F.trim(text)
+    return _let(_let(F.trim(text), _without_exponent), decimal_text)
+
+
+def _without_exponent(said: Column) -> Column:
     sign = F.when(said.startswith("-"), "-").otherwise("")
     whole, part = F.regexp_extract(said, r"^[+-]?([0-9]*)", 1), F.regexp_extract(said, r"\.([0-9]*)", 1)
     power = F.coalesce(F.regexp_extract(said, r"[eE]([+-]?[0-9]+)$", 1).try_cast("int"), F.lit(0))
@@ -41,7 +50,7 @@ def expanded(text: Column) -> Column:
     high = F.concat(digits, F.repeat(F.lit("0"), point - n))
     inside = F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, n))
     plain = F.when(point <= 0, low).when(point >= n, high).otherwise(inside)
-    return decimal_text(F.when(said.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]{1,4})?$"), F.concat(sign, plain)))
+    return F.when(said.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]{1,4})?$"), F.concat(sign, plain))
 
 
 def number_text(column: Column, double: bool = True) -> Column:
@@ -54,7 +63,7 @@ def number_text(column: Column, double: bool = True) -> Column:
         short = [F.format_string(f"%.{n}e", column) for n in (14, 15)]
         fits = [F.when(s.try_cast("double") == column, s) for s in short]
         said = F.when(said.rlike("^-?[0-9]"), F.coalesce(*fits, said)).otherwise(said)
-    return F.coalesce(expanded(said), said)
+    return _let(said, lambda t: F.coalesce(expanded(t), t))
 
 
 def instant_text(column: Column, zoned: bool = True) -> Column:
@@ -184,9 +193,8 @@ def session_dependent(text: Column) -> Column:
 
 def float_reading_differs(text: Column) -> Column:
     """Whether a numeral read as a 64-bit float is another number."""
-    exact = expanded(text)
-    back = number_text(text.try_cast("double"))
-    return exact.isNotNull() & ~exact.eqNullSafe(back)
+    pair = F.struct(expanded(text).alias("exact"), number_text(text.try_cast("double")).alias("back"))
+    return _let(pair, lambda p: p["exact"].isNotNull() & ~p["exact"].eqNullSafe(p["back"]))
 
 
 #: A moment as text: a date, or date and clock with or without an offset.
