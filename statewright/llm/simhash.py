@@ -3,9 +3,9 @@
 A 64-bit fingerprint is cut into two halves. If two fingerprints differ in at most two bits, one half
 differs in at most one, so the pair shares a half with the same one bit wiped out. Every distinct
 fingerprint is indexed under these 64 one-wildcard variants; an equality join on them gives the
-candidates, which are verified by their distance. A variant that two fingerprints share is one candidate
-pair, straight from the aggregate. Where more meet, the fingerprints are joined on whole signatures with
-at most one bit flipped instead: all fingerprints under one such signature (65 at most) lie within two
+candidates, which are verified by their distance. A variant that two or three fingerprints share gives its
+candidate pairs straight from the aggregate. Where more meet, the fingerprints are joined on whole signatures
+with at most one bit flipped instead: all fingerprints under one such signature (65 at most) lie within two
 bits of each other, so each is linked to the smallest, and no group is expanded into its pairs.
 """
 
@@ -13,18 +13,20 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import staged
+from .buckets import FILTER_BITS, bucket_links
+from .common import kept, single, staged, sweep, unused
 from .components import components
 from .exact_lsm import filtered
-from .para_minhash import FILTER_BITS, shingle_hashes, words_of
+from .para_minhash import shingle_hashes, words_of
 
 BITS = np.arange(64, dtype=np.uint64)
 
@@ -38,10 +40,7 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     shingles = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else w
     n = max(1, len(w) - words + 1)
     hashes = np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), dtype="<u8", count=n)
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, 1 << 15):
-        ones += np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.bitwise_or.reduce(np.where(2 * ones > n, np.uint64(1) << BITS, np.uint64(0))))
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, *, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -62,16 +61,21 @@ def links(distinct: DataFrame) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) such that their closure joins all at most two bits apart."""
     half = "if(i < 32, fp & 4294967295L, shiftrightunsigned(fp, 32))"
     variant = f"transform(sequence(0, 63), i -> shiftleft(cast(i as bigint), 32) | ({half} & ~shiftleft(1L, i % 32)))"
-    met = distinct.select("fp", F.explode(F.expr(variant)).alias("variant")).groupBy("variant").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
+    met = distinct.select("fp", F.explode(F.expr(variant)).alias("variant")).groupBy("variant").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"), F.bit_xor("fp").alias("x")).where("n > 1")
     met = staged(met, "simhash-variants")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
-    pairs = met.where("n = 2").where(near).select("a", "b")
-    crowded = met.where("n > 2").select("variant").distinct()
-    again = distinct.select("fp", F.explode(F.expr(variant)).alias("variant")).join(crowded, "variant", "left_semi").select("fp").distinct()
+    # Two in a bucket are one pair; of three the exclusive or of all tells the third.
+    third = F.col("x").bitwiseXOR(F.col("a")).bitwiseXOR(F.col("b"))
+    ends = F.when(F.col("n") == 2, F.array(F.struct("a", "b"))).otherwise(F.array(F.struct("a", "b"), F.struct(F.col("a"), third.alias("b")), F.struct(third.alias("a"), F.col("b"))))
+    pairs = met.where("n <= 3").select(F.explode(ends).alias("p")).select(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")).where(near)
+    # The bitmap of crowded variants has a bound; what it lets through beside them does no harm.
+    crowded = met.where("n > 3").select(F.col("variant").alias("digest"))
+    again = filtered(distinct.select("fp", F.explode(F.expr(variant)).alias("digest")), crowded, crowded.count(), FILTER_BITS).select("fp").distinct()
     flips = F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")
     signed = staged(again, "simhash-crowded").select("fp", F.explode(flips).alias("signature"))
     least = signed.groupBy("signature").agg(F.count("*").alias("n"), F.min("fp").alias("a")).where("n > 1")
-    stars = signed.join(least, "signature").where(F.col("fp") != F.col("a")).select("a", F.col("fp").alias("b"))
+    # Spark takes an exploded table for as small as its file; a merge join keeps it from being broadcast.
+    stars = signed.hint("merge").join(least, "signature").where(F.col("fp") != F.col("a")).select("a", F.col("fp").alias("b"))
     return pairs.unionByName(stars).distinct()
 
 
@@ -92,149 +96,190 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, id_col: str = "doc_id",
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _shingled(words: int):
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of a document's shingle hashes: bits that more than half of them have."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 15):
+        ones += np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.bitwise_or.reduce(np.where(2 * ones > len(hashes), np.uint64(1) << BITS, np.uint64(0))))
+
+
+#: Longs of a document's parity sketch, and of the wider one of documents with more than LONG shingles.
+SKETCH, WIDE, LONG = 8, 256, 800
+
+
+def parities(h: np.ndarray, longs: int = SKETCH) -> np.ndarray:
+    """Whether an odd number of the shingles falls on each of 64 * longs places, as signed longs.
+
+    Two sketches differ in no more bits than the sets differ in shingles, so they can rule a pair out for certain.
+    """
+    odd = np.bincount((h >> np.uint64(20)) % np.uint64(64 * longs), minlength=64 * longs).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
+def _shingled(words: int, id_type: pa.DataType):
+    """digest, doc_id, fp (fingerprint), sketch, wide (the sketch of a long document) and h (the different shingles' hashes in order) of every row."""
+    schema = pa.schema([("digest", pa.binary()), ("doc_id", id_type), ("fp", pa.int64()), ("sketch", pa.list_(pa.int64())), ("wide", pa.list_(pa.int64())), ("h", pa.list_(pa.int64()))])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("shingles", object)  # the caches of an operator before are no longer wanted
         for batch in batches:
-            for t in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(words_of(t.as_py()), words)).view(np.int64))], names=["h"])
+            fps, sketches, wide, hashes = np.zeros(batch.num_rows, dtype=np.uint64), [], [], []
+            for i, t in enumerate(batch.column(2)):
+                h = shingle_hashes(words_of(t.as_py()), words)
+                if len(h):
+                    fps[i] = majority(h)
+                h = np.unique(h)
+                sketches.append(parities(h))
+                wide.append(parities(h, WIDE) if len(h) > LONG else None)
+                hashes.append(h.view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64)), pa.array(sketches, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64())), pa.array(hashes, pa.list_(pa.int64()))], schema=schema)
 
     return run
 
 
-def common_shingles(narrow: DataFrame, words: int, sample: int = 20_000, most: int = 50_000) -> np.ndarray:
-    """Hashes of the shingles that a sample of documents repeats most, rarest first.
-
-    They only put the shingles of all documents into one order, which may be any; the rarer those in front,
-    the fewer candidates there are.
-    """
-    share = max(1, narrow.count() // sample)
-    some = narrow.where(F.pmod(F.xxhash64("rid"), F.lit(share)) == 0).select("text").mapInArrow(_shingled(words), "h long")
-    top = some.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(most).collect()
-    return np.array([r["h"] for r in reversed(top)], dtype=np.int64).view(np.uint64)
+def prefix_length(size: int, similarity: float) -> int:
+    """How many first shingles of a document one of that similarity must meet: all but ceil(similarity * size), and one."""
+    return size - math.ceil(similarity * size - 1e-9) + 1
 
 
-def _prefixed(words: int, similarity: float, common: np.ndarray, id_type: pa.DataType):
-    """rid, doc_id, size (different shingles) and the document's first shingles in the order of all shingles.
+def _prefixed(similarity: float, common: np.ndarray):
+    """rid, size (different shingles) and the document's first shingles in the order of all: by hash, common ones last.
 
     Documents of that similarity have ceil(similarity * size) shingles in common, so one at least is among the
-    first size - ceil(similarity * size) + 1 of either. Documents without words have the shingle zero.
+    first of either. Documents without words have the shingle zero.
     """
-    schema = pa.schema([("rid", pa.int64()), ("doc_id", id_type), ("size", pa.int32()), ("first", pa.list_(pa.int64()))])
     order = np.argsort(common)
     listed = common[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, chosen = [], []
-            for t in batch.column(2):
-                h = np.unique(shingle_hashes(words_of(t.as_py()), words))
+            for x in batch.column(1):
+                h = x.values.to_numpy(zero_copy_only=False)
                 sizes.append(len(h))
                 if len(listed) and len(h):
                     at = np.minimum(np.searchsorted(listed, h), len(listed) - 1)
                     known = listed[at] == h
                     h = np.concatenate([h[~known], common[np.sort(order[at[known]])]])
-                n = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1
-                chosen.append((h[:n] if len(h) else np.zeros(1, dtype=np.uint64)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(chosen, pa.list_(pa.int64()))], schema=schema)
+                chosen.append(h[: prefix_length(len(h), similarity)] if len(h) else np.zeros(1, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(chosen, pa.list_(pa.int64()))], names=["rid", "size", "first"])
 
     return run
 
 
-def _similar(words: int, similarity: float):
+def common_shingles(rows: DataFrame, similarity: float, crowd: int, rounds: int = 2, most: int = 50_000) -> np.ndarray:
+    """The shingles that crowd the documents' prefixes, rarest first; counted over all documents.
+
+    They come last in the order of shingles, which lets others into the prefixes, so a few rounds find those
+    too. The order may be any; this one has few candidates.
+    """
+    counts: dict[int, int] = {}
+    for _ in range(rounds):
+        listed = np.array(sorted(counts, key=lambda k: (counts[k], k))[-most:], dtype=np.int64)
+        keys = rows.select("rid", "h").mapInArrow(_prefixed(similarity, listed), "rid long, size int, first array<long>").select(F.explode("first").alias("key"))
+        often = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).orderBy(F.desc("n"), "key").limit(most)
+        fresh = {r["key"]: r["n"] for r in often.collect()}
+        sweep(rows.sparkSession)
+        if fresh.keys() <= counts.keys():
+            break
+        counts |= {k: max(n, counts.get(k, 0)) for k, n in fresh.items()}
+    return np.array(sorted(counts, key=lambda k: (counts[k], k))[-most:], dtype=np.int64)
+
+
+def _similar(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, known = None, None
         for batch in batches:
-            kept = []
-            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if a != last:
-                    last, known = a, np.unique(shingle_hashes(words_of(x.as_py()), words))
-                other = np.unique(shingle_hashes(words_of(y.as_py()), words))
-                both = len(np.intersect1d(known, other, assume_unique=True))
-                if both >= similarity * (len(known) + len(other) - both):
-                    kept.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.int64()) for i in range(2)], names=["a", "b"])
+            near = np.zeros(batch.num_rows, dtype=bool)
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                one, two = x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False)
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                near[i] = both >= similarity * (len(one) + len(two) - both) - 1e-9
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near))
 
     return run
 
 
-def _verified(narrow: DataFrame, pairs: DataFrame, words: int, similarity: float, label: str) -> DataFrame:
-    """The pairs (a, b of rids) whose whole texts are that similar."""
-    side = narrow.select("rid", "text")
-    one = pairs.join(side.select(F.col("rid").alias("a"), F.col("text").alias("x")), "a")
-    two = one.join(side.select(F.col("rid").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
-    return staged(two.mapInArrow(_similar(words, similarity), "a long, b long").distinct(), label)
-
-
-def bucket_links(narrow: DataFrame, keys: DataFrame, words: int, similarity: float, few: int = 32) -> DataFrame:
-    """Links whose closure joins all rows of one bucket that are similar; keys has rid, size and key, once each.
-
-    In buckets of up to `few` rows all pairs are tried. In larger ones heads are tried with all rows of the
-    bucket that are not yet in their component; then they leave it. A linked row stays until it has been a
-    head or all rows left are of one component, so no pair goes untried unless it is joined already. Rows
-    that share most with others are heads first: the original of many copies comes before them.
-    """
-    counts = staged(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-counts")
-    met = staged(filtered(keys.withColumn("digest", F.col("key")), counts.select(F.col("key").alias("digest")), counts.count(), FILTER_BITS).join(counts, "key").select("key", "rid", "size", "n"), "near-met")
-    # Buckets of the same rows are one.
-    alike = met.groupBy("key", "n").agg(F.bit_xor(F.xxhash64("rid")).alias("x"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("y"))
-    once = staged(alike.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "near-buckets")
-    weight = met.groupBy("rid").agg(F.sum("n").alias("weight"))
-    rows = staged(met.join(once, "key").join(weight, "rid").select("key", "rid", "size", "n", "weight"), "near-members")
-    fits = (F.col("p") != F.col("q")) & (F.least("m", "k") >= similarity * F.greatest("m", "k"))
-    ends = [F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")]
-    small = rows.where(F.col("n") <= few)
-    other = small.select("key", F.col("rid").alias("q"), F.col("size").alias("k"))
-    pairs = small.select("key", F.col("rid").alias("p"), F.col("size").alias("m")).join(other, "key").where("p < q").where(fits).select(ends).distinct()
-    left = rows.where(F.col("n") > few).select("key", "rid", "size", "weight", F.col("rid").alias("root"))
-    found, tried, slots = None, None, 1
-    while True:
-        heads = left.groupBy("key", F.pmod(F.xxhash64("rid"), F.lit(slots)).alias("slot")).agg(F.max(F.struct("weight", "rid", "size", "root")).alias("head"))
-        heads = staged(heads.select("key", F.col("head.rid").alias("p"), F.col("head.size").alias("m"), F.col("head.root").alias("of")), "near-heads")
-        apart = left.join(heads, "key").withColumnRenamed("rid", "q").withColumnRenamed("size", "k").where("root <> of").where(fits)
-        pairs = pairs.unionByName(apart.select(ends)).distinct()
-        pairs = staged(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = _verified(narrow, pairs, words, similarity, "near-links")
-        found = links if found is None else found.unionByName(links)
-        left = left.join(heads.select("key", F.col("p").alias("rid")), ["key", "rid"], "left_anti")
-        root = staged(components(found), "near-roots").withColumnRenamed("node", "rid")
-        left = left.drop("root").join(root, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-        open_ = left.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
-        left = staged(left.join(open_, "key"), "near-left")
-        if left.isEmpty():
-            return found
-        pairs, slots = pairs.limit(0), slots * 8
-
-
-def similar_pairs(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, links): rows has rid (a hash of identifier and text) and doc_id; links joins rids of near copies.
-
-    Candidates are documents that share one of their first shingles in an order of all shingles, rare ones
-    first: every pair of the similarity does, short texts as well, which fingerprints of two or fewer
-    differing bits or equal blocks do not give. In a group of candidates every pair is tried that is not
+def plausible(rows: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b of rids) that sizes and sketches do not rule out: sets of m and n shingles that are that
+    similar differ in (m + n) * (1 - similarity) / (1 + similarity) of them at most."""
+    side = rows.select("rid", "sketch", F.size("h").alias("size"))
+    one = pairs.join(side.select(F.col("rid").alias("a"), F.col("sketch").alias("s"), F.col("size").alias("m")), "a")
+    two = one.join(side.select(F.col("rid").alias("b"), F.col("sketch").alias("t"), F.col("size").alias("n")), "b")
+    most = (F.col("m") + F.col("n")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col("s")[i].bitwiseXOR(F.col("t")[i])) for i in range(SKETCH)])
+    likely = staged(two.where(apart <= most).select("a", "b", "m", "n"), "near-likely")
+    # Long documents fill a sketch; theirs is looked at once more in a wider one before their shingles move.
+    long = likely.where((F.col("m") > LONG) & (F.col("n") > LONG))
+    ends = long.select(F.col("a").alias("digest")).unionByName(long.select(F.col("b").alias("digest"))).distinct()
+    broad = filtered(rows.where("wide is not null").select("rid", "wide", F.col("rid").alias("digest")), ends, 2 * long.count(), FILTER_BITS)
+    first = long.join(broad.select(F.col("rid").alias("a"), F.col("wide").alias("s")), "a")
+    both = first.join(broad.select(F.col("rid").alias("b"), F.col("wide").alias("t")), "b")
+    bits = F.aggregate(F.zip_with("s", "t", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    return likely.where((F.col("m") <= LONG) | (F.col("n") <= LONG)).select("a", "b").unionByName(both.where(bits <= most).select("a", "b"))
+
+
+def _verified(rows: DataFrame, pairs: DataFrame, similarity: float, label: str) -> DataFrame:
+    """The pairs (a, b of rids) whose whole sets of shingles are that similar."""
+    likely = staged(plausible(rows, pairs, similarity), "near-plausible")
+    ends = likely.select(F.col("a").alias("digest")).unionByName(likely.select(F.col("b").alias("digest"))).distinct()
+    side = filtered(rows.select("rid", "h", F.col("rid").alias("digest")), ends, 2 * likely.count(), FILTER_BITS)
+    one = likely.join(side.select(F.col("rid").alias("a"), F.col("h").alias("x")), "a")
+    two = one.join(side.select(F.col("rid").alias("b"), F.col("h").alias("y")), "b").select("a", "b", "x", "y")
+    return staged(two.mapInArrow(_similar(similarity), "a long, b long"), label)
+
+
+def fingerprint_links(rows: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b of rids) of documents whose fingerprints are equal or meet in the index, verified on their shingles."""
+    first = staged(rows.groupBy("fp").agg(F.min("rid").alias("least")), "near-fingerprints")
+    same = rows.join(first, "fp").where("rid <> least").select(F.col("least").alias("a"), F.col("rid").alias("b"))
+    near = links(first.select("fp"))
+    ends = [first.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_rid")) for c in ("a", "b")]
+    across = near.join(ends[0], "a").join(ends[1], "b").select(F.least("a_rid", "b_rid").alias("a"), F.greatest("a_rid", "b_rid").alias("b"))
+    return _verified(rows, same.unionByName(across), similarity, "near-by-fingerprint")
+
+
+def _digest(id_col: str, text_col: str) -> Column:
+    """128 bits of a row's identifier and text, nulls told from empty texts of identifiers."""
+    said = F.to_json(F.struct(F.col(id_col).cast("string").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")), {"ignoreNullFields": "false"})
+    return F.unhex(F.substring(F.sha2(said, 256), 1, 32))
+
+
+def similar_pairs(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, crowd: int = 32, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(rows, links): rows has rid (a number), digest and doc_id of every row; links joins rids of near copies.
+
+    Documents whose fingerprints are at most two bits apart are candidates by the index of deletion variants.
+    Fingerprints of documents at that similarity mostly differ in more bits, so the others come from an exact
+    prefix filter: documents that share one of their first shingles in an order of all shingles, which every
+    pair of the similarity does, short texts as well. In a group of candidates every pair is tried that is not
     joined already (bucket_links); pairs whose sizes rule out the similarity are left out; the rest is
-    verified on the whole texts.
+    verified on all shingles.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    narrow = docs.select(F.xxhash64(F.col(id_col), text).alias("rid"), F.col(id_col).alias("doc_id"), text.alias("text"))
+    narrow = docs.select(_digest(id_col, text_col).alias("digest"), F.col(id_col).alias("doc_id"), text.alias("text"))
     kind = narrow.schema["doc_id"].dataType
-    spec = f"rid long, doc_id {kind.simpleString()}, size int, first array<long>"
-    rows = staged(narrow.mapInArrow(_prefixed(words, similarity, common_shingles(narrow, words), to_arrow_type(kind)), spec), "near-rows")
-    keys = rows.dropDuplicates(["rid"]).select("rid", "size", F.explode("first").alias("key"))
-    return rows.select("rid", "doc_id"), bucket_links(narrow, keys, words, similarity)
+    shingled = narrow.mapInArrow(_shingled(words, to_arrow_type(kind)), f"digest binary, doc_id {kind.simpleString()}, fp long, sketch array<long>, wide array<long>, h array<long>")
+    rows = staged(shingled.withColumn("rid", F.monotonically_increasing_id()), "near-rows")
+    prefixes = rows.select("rid", "h").mapInArrow(_prefixed(similarity, common_shingles(rows, similarity, crowd)), "rid long, size int, first array<long>")
+    keys = staged(prefixes, "near-prefixes").select("rid", "size", F.explode("first").alias("key"))
+    known = fingerprint_links(rows, similarity)
+    verify = lambda pairs, label: _verified(rows, pairs, similarity, label)
+    fits = lambda m, n: F.least(m, n) >= similarity * F.greatest(m, n)
+    return rows.select("rid", "digest", "doc_id"), bucket_links(keys, verify, known=known, fits=fits)
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with one row of each group of near copies, the one with the smallest identifier; all columns kept.
 
-    Null and empty texts are near copies of each other. Rows without a near copy stay as they are; rows
-    that repeat identifier and text share their fate. An empty table gives an empty result.
+    Null and empty texts are near copies of each other. Null identifiers lose every tie. Of rows that repeat
+    identifier and text one stays at most. An empty table gives an empty result.
     """
     rows, near = similar_pairs(docs, id_col=id_col, text_col=text_col, **options)
     member = components(near).withColumnRenamed("node", "rid")
-    grouped = rows.join(member, "rid")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
+    grouped = staged(rows.join(member, "rid"), "near-members")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
     stays = grouped.groupBy("root").agg(F.min(order).alias("s"))
-    gone = grouped.join(stays, "root").where(F.col("rid") != F.col("s.rid")).select(F.col("rid").alias("__gone")).distinct()
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.join(gone, F.xxhash64(F.col(id_col), text) == F.col("__gone"), "left_anti")
+    mark, digest = unused(docs, "row_digest"), _digest(id_col, text_col)
+    gone = grouped.join(stays, "root").where(F.col("digest") != F.col("s.digest")).select(F.col("digest").alias(mark)).distinct()
+    left = docs.join(gone, digest == F.col(mark), "left_anti")
+    return single(left, rows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias(mark)), digest, mark)

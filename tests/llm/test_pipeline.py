@@ -139,3 +139,21 @@ def test_stages_judge_awkward_rows_like_brute_force(spark):
     assert sorted(((r["doc_id"], plain(r["text"])) for r in near.collect()), key=repr) == sorted([(None, "quite clean here"), (None, plain(f"so {item} it says")), (7, "a b c"), (8, ""), (10, long)], key=repr)
     clean = stage["decontamination"](spark, docs, SF)
     assert sorted(((r["doc_id"], r["text"]) for r in clean.collect()), key=repr) == sorted([x for x in texts if x[1] is None or item not in x[1]], key=repr)
+
+
+def test_near_copies_of_long_texts(spark):
+    import random
+
+    from statewright.llm import simhash
+
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(20_000)]
+    common = [rng.choice(words) for _ in range(40)]
+    docs = []
+    for d in range(40):
+        text = [*common, *(rng.choice(words) for _ in range(rng.randrange(700, 2500)))]
+        docs.append((d, " ".join(text)))
+        if d % 4 == 0:
+            docs.append((100 + d, " ".join(w if rng.random() > 0.01 else "edit" for w in text)))
+    kept = {r["doc_id"] for r in simhash.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert kept == brute_near(docs) and len(kept) == 40
