@@ -396,68 +396,6 @@ def test_reader_takes_long_words(documents):
     assert reader.score("x " + "ab" * 200, 0.0) > 0.8 and reader.score("ab" * 199, 0.0) == 0.5
 
 
-def passage_truth(docs, min_words=50, similarity=0.8):
-    """Documents that hold a window of min_words words similar to one of another document, by all pairs of windows."""
-    size = min_words - 4
-    sets = {}
-    for d, text in docs:
-        h = para_minhash.shingle_hashes(para_minhash.words_of(text))
-        sets[d] = [frozenset(h[i : i + size].tolist()) for i in range(len(h) - size + 1)]
-    hit = set()
-    for a, b in itertools.combinations(sets, 2):
-        whole = frozenset().union(*sets[a]) & frozenset().union(*sets[b])
-        if len(whole) < similarity * size / 2:
-            continue
-        if any(len(x & whole) and len(x & y) >= similarity * len(x | y) for x in sets[a] if len(x & whole) >= similarity * size / 2 for y in sets[b]):
-            hit |= {a, b}
-    return hit
-
-
-def passage_corpus(rng, lengths, edits, docs=60):
-    vocabulary = [f"w{x}" for x in range(4000)]
-    say = lambda n: [str(x) for x in rng.choice(vocabulary, n)]
-    originals = [say(n) for n in lengths]
-    rows = []
-    for d in range(docs):
-        words = say(int(rng.integers(60, 200)))
-        if d % 2 == 0:
-            passage = list(originals[d // 2 % len(originals)])
-            for _ in range(edits if d // 2 >= len(originals) else 0):
-                passage[int(rng.integers(len(passage)))] = "edited"
-            at = int(rng.integers(len(words)))
-            words[at:at] = passage
-        rows.append((d, " ".join(words)))
-    return rows
-
-
-@pytest.mark.parametrize(("lengths", "edits"), [([51, 55, 60, 80, 120, 300], 0), ([52, 56, 60, 64, 80, 100], 1), ([100, 120, 150, 200, 250, 300], 2)])
-def test_passages_against_all_pairs_of_windows(spark, lengths, edits):
-    rng = np.random.default_rng(17 + edits)
-    rows = passage_corpus(rng, lengths, edits)
-    want = passage_truth(rows)
-    got = para_minhash.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    found = {r["doc_id"] for r in got}
-    assert found <= want and len(want) >= 20
-    assert len(found) >= (0.9 if edits else 1.0) * len(want)
-    assert all(r["n_words"] >= 50 for r in got)
-
-
-def test_passages_of_a_crowd(spark):
-    """A hundred variants of one passage, each near the original alone, which comes last."""
-    rng = np.random.default_rng(23)
-    vocabulary = [f"w{x}" for x in range(4000)]
-    say = lambda n: [str(x) for x in rng.choice(vocabulary, n)]
-    original = say(110)
-    rows = []
-    for d in range(100):
-        passage = [w if rng.random() > 0.015 else f"e{rng.integers(10**6)}" for w in original]
-        rows.append((d, " ".join(say(30) + passage + say(30))))
-    rows.append((1000, " ".join(say(20) + original + say(20))))
-    got = para_minhash.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert len({r["doc_id"] for r in got}) >= 96 and 1000 in {r["doc_id"] for r in got}
-    assert sum(r["component_id"] == 0 for r in got) >= 0.8 * len(got)
-
-
 def test_passages(spark, empty, odd):
     rng = np.random.default_rng(5)
     vocabulary = [f"w{rng.integers(10**6)}" for _ in range(3000)]
