@@ -436,6 +436,56 @@ def test_passages_without_an_anchor_by_hash(spark):
     assert all(r["component_id"] == r["doc_id"] // 2 * 2 and r["n_words"] >= 50 for r in got)
 
 
+def crowded_kinds(seed=17):
+    """Kinds (pid, words, left, right): one line and its variants in many surroundings, which some share on both sides in
+    parts, and long paragraphs of one bucket that are alike in twos."""
+    rng = np.random.default_rng(seed)
+    say = lambda n: [f"w{x}" for x in rng.integers(10**6, size=n)]
+    line, lefts, rights = say(30), [say(48) for _ in range(6)], [say(48) for _ in range(6)]
+    lines = [line, [*line[:29], "x"], ["y", *line[1:]], [*line, "z"]]
+    out = []
+    for k in range(240):
+        i, j = int(rng.integers(0, 22)), int(rng.integers(0, 22))
+        a, b = lefts[int(rng.integers(6))], rights[int(rng.integers(6))]
+        out.append((lines[int(rng.integers(4)) if k % 3 == 0 else 0], say(48 - i) + a[48 - i :], b[:j] + say(48 - j)))
+    template = say(90)
+    for _ in range(40):
+        own = [w if rng.random() > 0.02 else say(1)[0] for w in template]
+        out += [(own, [], []), ([*own[:-1], "end"], [], [])]
+    # A paragraph just under the wanted length beside one just over it.
+    word = say(52)
+    out += [(word, lefts[0], rights[0]), (word[:47], lefts[0], word[47:] + rights[0][:43]), (word, lefts[1], rights[1])]
+    pids = rng.permutation(len(out)) + 1
+    return [(int(p), *(" ".join(x).encode() for x in row)) for p, row in zip(pids, out, strict=True)]
+
+
+def components_of(nodes, links):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        p, q = sorted((find(a), find(b)))
+        root[q] = p
+    return {n: find(n) for n in nodes}
+
+
+def test_kinds_of_a_crowded_bucket_are_all_tried(spark):
+    kinds = crowded_kinds()
+    pairs = itertools.combinations(kinds, 2)
+    expected = components_of([k[0] for k in kinds], [(x[0], y[0]) for x, y in pairs if para_minhash.verified(x[1:], y[1:], 0.8, 50)])
+    digest = lambda words: hashlib.md5(words).digest()
+    frame = spark.createDataFrame([(digest(w), p, len(w.split()), w, left, right) for p, w, left, right in kinds], "digest binary, pid long, n long, words binary, left binary, right binary")
+    links = para_minhash.kind_links(frame, min_words=50, similarity=0.8, recall=0.9999, rows=3).collect()
+    assert components_of([k[0] for k in kinds], [(r["a"], r["b"]) for r in links]) == expected
+    by = {k[0]: k[1:] for k in kinds}
+    assert all(50 <= r["shared"] <= para_minhash.verified(by[r["a"]], by[r["b"]], 0.8, 50) for r in links)
+    assert 30 < len(set(expected.values())) < len(kinds) - 60
+
+
 def test_runs_ask_each_other(spark):
     rows = [(d % 4, f"{d % 50:064x}", d) for d in range(100)] + [(k % 4, f"{1000 + k:064x}", k) for k in range(200)]
     entries = spark.createDataFrame(rows, "run int, digest string, keep_id int").dropDuplicates(["run", "digest"])
