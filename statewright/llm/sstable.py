@@ -191,7 +191,7 @@ def _open(path: str):
 def _written(folder: str, path: str, end_id: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        codes = encoder(path, spaces=True)
+        codes = encoder(path, spaces=True, limit=350_000)
         end = np.array([end_id], dtype="<u4")
         # Each attempt writes its own file; only the files of attempts that succeeded are named in the result.
         where, name = _open(f"{folder}/{context.partitionId():06d}-{context.taskAttemptId()}.sst")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -60,8 +61,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         # A unit that holds one of the vocabulary's own markers gets the ids that the library gives it.
-        self.marks = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.model = self.tokenizer.model
+        marks = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marked = re.compile("|".join(marks) or "(?!)").search
+        self.tokenize = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
         lead = " ?" if spaces else ""
         case = "A-Za-z" if spaces else "a-z"
@@ -70,27 +72,37 @@ class Encoder:
         digits = "[0-9]+" if spaces else "[0-9]"
         self.pieces = re.compile(rf"{SUFFIXES}|{lead}[{case}{LATIN}]+|{lead}{digits}|{lead}[^ {case}0-9{LATIN}]+")
         self.words = _Generations(self._word, limit)
-        self.after_space = _Generations(self._unit, limit)
+        # A single word after a space is kept here alone, so this cache may hold what two would.
+        self.after_space = _Generations(self._unit, 2 * limit if spaces else limit)
         self.at_start = _Generations(self._first, limit // 4)
 
     def _ids(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _word(self, piece: str) -> bytes:
-        spelled = piece.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(spelled)], dtype="<u4").tobytes()
+        if piece.isascii():
+            spelled = piece.replace(" ", "Ġ")
+        else:
+            spelled = piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenize(spelled)]).tobytes()
 
     def _whole(self, unit: str) -> bytes:
-        if self.plain.fullmatch(unit) and not any(m in unit for m in self.marks):
+        if self.plain.fullmatch(unit) and not self.marked(unit):
             return b"".join(map(self.words.__getitem__, self.pieces.findall(unit if self.spaces else unit.lower())))
         return self._ids(unit)
 
     def _unit(self, unit: str) -> bytes:
         if not self.spaces:
             return self._whole(unit) if unit else b""
-        if not unit or unit[0].isspace():
-            raise _Odd
-        return self._whole(" " + unit)
+        spaced = " " + unit
+        if not self.plain.fullmatch(spaced) or self.marked(unit):
+            if not unit or unit[0].isspace():
+                raise _Odd
+            return self._ids(spaced)
+        pieces = self.pieces.findall(spaced)
+        if len(pieces) == 1:
+            return self._word(spaced)
+        return self.after_space[pieces[0][1:]] + b"".join(map(self.words.__getitem__, pieces[1:]))
 
     def _first(self, unit: str) -> bytes:
         if not unit or unit[0].isspace():

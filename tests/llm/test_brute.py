@@ -228,6 +228,19 @@ def test_packer_minimises_the_sum_of_squares():
         assert int((p.level[1:32] ** 2).sum()) == best
 
 
+def test_a_word_after_a_space_is_kept_once():
+    from statewright.llm.tokens import Encoder
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary("byte_bpe_50k.json")
+    codes, plain = Encoder(path, spaces=True), Tokenizer.from_file(path)
+    for text in ["so one two (three) two, 'tis 'one won't é l'été été 12 v12 two's", "a <|endoftext|> b<|endoftext|>, c", "x !? -- 'S ' ''s", "ñ ×÷ ¿qué? naïve\nnaïve x"]:
+        assert codes.encode(text) == np.array(plain.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), text
+    codes = Encoder(path, spaces=True)
+    codes.encode("so one two three two one, two.")
+    assert set(codes.after_space) == {"one", "two", "three", "one,", "two."} and not set(codes.words) & {" one", " two", " three"}
+
+
 def test_token_shards(spark, documents, texts, odd, empty):
     from tokenizers import Tokenizer
 
