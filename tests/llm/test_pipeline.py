@@ -141,6 +141,16 @@ def test_stages_judge_awkward_rows_like_brute_force(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in clean.collect()), key=repr) == sorted([x for x in texts if x[1] is None or item not in x[1]], key=repr)
 
 
+def test_of_rows_that_repeat_an_identifier_the_longest_text_stays(spark):
+    """Wherever it stands among them, and null only if nothing else is there."""
+    texts = [(g, f"t{g}" + " " * (3 if k == g % 5 else k % 2) + "x") for k in range(5) for g in range(12)]
+    texts += [(50, None), (50, ""), (50, " "), (51, None), (51, None), (None, "z z"), (None, "z  z")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in texts], "doc_id long, text string, row_digest string").repartition(3)
+    got = dict(corpus_pipeline.STAGES)["exact_dedup"](spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted(rows(got), key=repr) == sorted([*((g, f"t{g}   x") for g in range(12)), (50, " "), (None, "z  z")], key=repr)
+
+
 def test_near_copies_of_long_texts(spark):
     import random
 
