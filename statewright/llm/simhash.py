@@ -68,9 +68,10 @@ def links(distinct: DataFrame) -> DataFrame:
     third = F.col("x").bitwiseXOR(F.col("a")).bitwiseXOR(F.col("b"))
     ends = F.when(F.col("n") == 2, F.array(F.struct("a", "b"))).otherwise(F.array(F.struct("a", "b"), F.struct(F.col("a"), third.alias("b")), F.struct(third.alias("a"), F.col("b"))))
     pairs = met.where("n <= 3").select(F.explode(ends).alias("p")).select(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")).where(near)
-    # The bitmap of crowded variants has a bound; what it lets through beside them does no harm.
+    # The bitmap lets some of the others through, which among 64 variants is one of almost every fingerprint, so a join
+    # follows (no semi-join, which Spark would do before the bitmap).
     crowded = met.where("n > 3").select(F.col("variant").alias("digest"))
-    again = filtered(distinct.select("fp", F.explode(F.expr(variant)).alias("digest")), crowded, crowded.count(), FILTER_BITS).select("fp").distinct()
+    again = filtered(distinct.select("fp", F.explode(F.expr(variant)).alias("digest")), crowded, crowded.count(), FILTER_BITS).join(crowded, "digest").select("fp").distinct()
     flips = F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")
     signed = staged(again, "simhash-crowded").select("fp", F.explode(flips).alias("signature"))
     least = signed.groupBy("signature").agg(F.count("*").alias("n"), F.min("fp").alias("a")).where("n > 1")
@@ -200,6 +201,28 @@ def _similar(similarity: float):
     return run
 
 
+def positioned(similarity: float):
+    """fits of bucket_links: whether two documents can be that similar that share one shingle, the at-th of either's
+    prefix, and none before: the shingles left must hold all that they need in common, and sizes must suit."""
+
+    def fits(x: Column, y: Column) -> Column:
+        least = (x["size"] + y["size"]) * (similarity / (1 + similarity)) - 1e-6
+        sizes = F.least(x["size"], y["size"]) >= similarity * F.greatest(x["size"], y["size"])
+        return sizes & (x["size"] - x["at"] >= least) & (y["size"] - y["at"] >= least)
+
+    return fits
+
+
+def sketched(similarity: float, longs: int = SKETCH):
+    """near of bucket_links: whether sketches (mark) allow two documents to be that similar."""
+
+    def near(x: Column, y: Column) -> Column:
+        most = (x["size"] + y["size"]) * ((1 - similarity) / (1 + similarity)) + 1e-6
+        return reduce(lambda a, b: a + b, [F.bit_count(x["mark"][i].bitwiseXOR(y["mark"][i])) for i in range(longs)]) <= most
+
+    return near
+
+
 def plausible(rows: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b of rids) that sizes and sketches do not rule out: sets of m and n shingles that are that
     similar differ in (m + n) * (1 - similarity) / (1 + similarity) of them at most."""
@@ -252,8 +275,8 @@ def similar_pairs(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, c
     Fingerprints of documents at that similarity mostly differ in more bits, so the others come from an exact
     prefix filter: documents that share one of their first shingles in an order of all shingles, which every
     pair of the similarity does, short texts as well. In a group of candidates every pair is tried that is not
-    joined already (bucket_links); pairs whose sizes rule out the similarity are left out; the rest is
-    verified on all shingles.
+    joined already (bucket_links); pairs whose sizes, places of the shared shingle or sketches rule out the similarity
+    are left out before they become rows; the rest is verified on all shingles.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     narrow = docs.select(_digest(id_col, text_col).alias("digest"), F.col(id_col).alias("doc_id"), text.alias("text"))
@@ -261,11 +284,11 @@ def similar_pairs(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, c
     shingled = narrow.mapInArrow(_shingled(words, to_arrow_type(kind)), f"digest binary, doc_id {kind.simpleString()}, fp long, sketch array<long>, wide array<long>, h array<long>")
     rows = staged(shingled.withColumn("rid", F.monotonically_increasing_id()), "near-rows")
     prefixes = rows.select("rid", "h").mapInArrow(_prefixed(similarity, common_shingles(rows, similarity, crowd)), "rid long, size int, first array<long>")
-    keys = staged(prefixes, "near-prefixes").select("rid", "size", F.explode("first").alias("key"))
+    keys = staged(prefixes, "near-prefixes").select("rid", "size", F.posexplode("first").alias("at", "key"))
     known = fingerprint_links(rows, similarity)
     verify = lambda pairs, label: _verified(rows, pairs, similarity, label)
-    fits = lambda m, n: F.least(m, n) >= similarity * F.greatest(m, n)
-    return rows.select("rid", "digest", "doc_id"), bucket_links(keys, verify, known=known, fits=fits)
+    marks = rows.select("rid", F.col("sketch").alias("mark"))
+    return rows.select("rid", "digest", "doc_id"), bucket_links(keys, verify, known=known, fits=positioned(similarity), marks=marks, near=sketched(similarity))
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -280,6 +303,9 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
     stays = grouped.groupBy("root").agg(F.min(order).alias("s"))
     mark, digest = unused(docs, "row_digest"), _digest(id_col, text_col)
-    gone = grouped.join(stays, "root").where(F.col("digest") != F.col("s.digest")).select(F.col("digest").alias(mark)).distinct()
-    left = docs.join(gone, digest == F.col(mark), "left_anti")
+    gone = staged(grouped.join(stays, "root").where(F.col("digest") != F.col("s.digest")).select("digest").distinct(), "near-gone")
+    # Most documents stay, and the filter knows that of them; only the others are shuffled with their texts.
+    whole, n = docs.select(F.struct(*docs.columns).alias("row"), digest.alias("digest")), gone.count()
+    asked = filtered(whole, gone, n, FILTER_BITS).join(F.broadcast(gone) if n < 1000 else gone, "digest", "left_anti")
+    left = filtered(whole, gone, n, FILTER_BITS, others=True).unionByName(asked).select("row.*")
     return single(left, rows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias(mark)), digest, mark)

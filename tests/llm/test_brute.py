@@ -340,6 +340,24 @@ def test_simhash_links_crowded_variants(spark):
     assert all(got.get(f, f) == find(f) for f in order)
 
 
+def test_simhash_flips_bits_of_crowded_fingerprints_only(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    centre = int(rng.integers(0, 2**62))
+    crowd = {centre ^ (1 << k) for k in range(40)} | {centre ^ (1 << 40) ^ (1 << k) for k in range(40)}
+    crowd |= {int(x) ^ (1 << k) for x in rng.integers(0, 2**62, 400) for k in range(6)}
+    alone = {int(x) for x in rng.integers(0, 2**62, 3000)}
+    seen, staged = {}, simhash.staged
+
+    def counted(df, label, **options):
+        out = staged(df, label, **options)
+        seen[label] = out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "staged", counted)
+    simhash.links(spark.createDataFrame([(f,) for f in crowd | alone], "fp long")).count()
+    assert 0 < seen["simhash-crowded"] <= len(crowd)
+
+
 def named(spans):
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 

@@ -167,3 +167,43 @@ def test_near_copies_of_long_texts(spark):
             docs.append((100 + d, " ".join(w if rng.random() > 0.01 else "edit" for w in text)))
     kept = {r["doc_id"] for r in simhash.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert kept == brute_near(docs) and len(kept) == 40
+
+
+def test_candidates_that_places_and_sketches_rule_out_are_not_listed(spark, monkeypatch):
+    """Copies with more and fewer edits crowd the same buckets; few of their pairs become rows, and none of the similar ones is lost."""
+    import random
+
+    from statewright.llm import buckets, simhash
+
+    rng = random.Random(31)
+    text = [f"w{i}" for i in range(150)]
+    docs = []
+    for d in range(400):
+        copy = list(text)
+        for at in rng.sample(range(150), rng.randrange(1, 9)):
+            copy[at] = f"e{rng.randrange(10**6)}"
+        docs.append((d, " ".join(copy)))
+    listed, staged = [], buckets.staged
+
+    def counted(df, label, **options):
+        out = staged(df, label, **options)
+        if label == "near-pairs":
+            listed.append(out.count())
+        return out
+
+    monkeypatch.setattr(buckets, "staged", counted)
+    kept = {r["doc_id"] for r in simhash.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert kept == brute_near(docs) and 1 < len(kept) < 400
+    assert 0 < sum(listed) < 2_000
+
+
+def test_only_rows_that_may_be_gone_are_asked(spark):
+    from pyspark.sql import functions as F
+    from statewright.llm import exact_lsm
+
+    rows = spark.range(5000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("digest"))
+    gone = rows.where("id % 50 = 7").select("digest")
+    asked, others = (exact_lsm.filtered(rows, gone, 100, 1 << 26, others=o) for o in (False, True))
+    assert asked.count() < 1500 and asked.count() + others.count() == 5000
+    assert others.where("id % 50 = 7").count() == 0
+    assert exact_lsm.filtered(rows, gone.limit(0), 0, 1 << 26, others=True).count() == 5000
