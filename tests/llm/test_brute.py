@@ -517,6 +517,22 @@ def test_kinds_of_a_crowded_bucket_are_all_tried(spark):
     assert 30 < len(set(expected.values())) < len(kinds) - 60
 
 
+def test_heads_meet_where_they_share_a_way(spark):
+    """Against brute force: a crowded line, its variants and ways that one head has alone; the crowded line never asks."""
+    rng = np.random.default_rng(9)
+    firsts = {}
+    for head, ways in [(1, 600), (2, 500), *((h, 6) for h in range(3, 40))]:
+        for key in rng.choice(700, ways, replace=False):
+            firsts[head, int(key)] = head * 1000 + int(key)
+    pairs = {(int(min(p)), int(max(p))) for p in (rng.choice(39, 2, replace=False) + 1 for _ in range(150))} | {(1, h) for h in range(2, 40)}
+    expected = {frozenset((firsts[a, k], firsts[b, k])) for a, b in pairs for k in range(700) if (a, k) in firsts and (b, k) in firsts}
+    rows = spark.createDataFrame([(h, k, f) for (h, k), f in firsts.items()], "head long, key long, first long")
+    got = para_minhash.across_heads(spark.createDataFrame(sorted(pairs), "a long, b long"), rows).collect()
+    assert {frozenset((r["a"], r["b"])) for r in got} == expected and len(expected) > 500
+    asked = {r["a"] // 1000 for r in got}
+    assert 1 not in asked and len(asked) > 30
+
+
 def test_runs_ask_each_other(spark):
     rows = [(d % 4, f"{d % 50:064x}", d) for d in range(100)] + [(k % 4, f"{1000 + k:064x}", k) for k in range(200)]
     entries = spark.createDataFrame(rows, "run int, digest string, keep_id int").dropDuplicates(["run", "digest"])
