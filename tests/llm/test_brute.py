@@ -533,6 +533,32 @@ def test_heads_meet_where_they_share_a_way(spark):
     assert 1 not in asked and len(asked) > 30
 
 
+def test_crowds_of_like_heads_are_listed_once(spark, monkeypatch):
+    """Ways of the same first kinds are one way, and heads that are like the same heads are one head; closure as by brute force."""
+    counts, write = {}, para_minhash.staged
+
+    def counted(df, label, **options):
+        out = write(df, label, **options)
+        counts[label] = out.count()
+        return out
+
+    monkeypatch.setattr(para_minhash, "staged", counted)
+    firsts = {(h, 100 * k + way): 1000 * h + k for h in range(1, 25) for k in (1, 2, 3) if (h + k) % 4 for way in range(30)}
+    rows = spark.createDataFrame([(h, k, f) for (h, k), f in firsts.items()], "head long, key long, first long")
+    # Two crowds, all alike inside; all of one are like the one head that stands alone, which is like one of the other crowd.
+    pairs = [*itertools.combinations(range(1, 12), 2), *((h, 12) for h in range(1, 12)), *itertools.combinations(range(13, 25), 2), (12, 13)]
+    frame = spark.createDataFrame(pairs, "a long, b long")
+    expected = {frozenset((firsts[a, k], firsts[b, k])) for a, b in pairs for _, k in firsts if (a, k) in firsts and (b, k) in firsts}
+    assert {frozenset((r["a"], r["b"])) for r in para_minhash.across_heads(frame, rows).collect()} == expected
+    assert counts["para-firsts-met"] == len(set(firsts.values()))
+    found = para_minhash.twins(frame).collect()
+    assert {r["head"]: r["twin"] for r in found} == {**{h: 1 for h in range(1, 12)}, 12: 12, 13: 13, **{h: 14 for h in range(14, 25)}}
+    got = [(r["a"], r["b"]) for r in para_minhash.across_twins(frame, rows, spark.createDataFrame(found)).collect()]
+    nodes = set(firsts.values())
+    assert components_of(nodes, got) == components_of(nodes, map(tuple, expected))
+    assert len(got) < 2 * len(nodes) < len(expected)
+
+
 def test_runs_ask_each_other(spark):
     rows = [(d % 4, f"{d % 50:064x}", d) for d in range(100)] + [(k % 4, f"{1000 + k:064x}", k) for k in range(200)]
     entries = spark.createDataFrame(rows, "run int, digest string, keep_id int").dropDuplicates(["run", "digest"])
