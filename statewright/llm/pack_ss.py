@@ -2,7 +2,7 @@
 
 Documents come one after the other. What a document has beyond whole windows goes to the fill level
 (or to a new window) for which the sum over all levels of the squared number of partly filled windows
-grows least; the numbers are kept in a level array. Once as many windows are open as may be, a document is cut
+grows least; only levels that some window has are kept and tried. Once as many windows are open as may be, a document is cut
 to close one: the one whose closing makes that sum shrink most, the rest of the document being placed as
 before. The few windows still open at a task's end are poured together (documents may be cut freely), and
 the last one is cut at powers of two, which need no padding. Each task packs its own part of the input in
@@ -34,10 +34,18 @@ class Packer:
 
     def __init__(self, window: int, done, max_open: int = 64):
         self.window, self.done, self.max_open = window, done, max_open
-        self.level = np.zeros(window + 1, dtype=np.int64)
+        # The open windows of each fill level that has any.
         self.open: dict[int, list[list[Piece]]] = {}
         self.n_open = 0
 
+    @property
+    def level(self) -> np.ndarray:
+        """The number of open windows of each fill level."""
+        counts = np.zeros(self.window + 1, dtype=np.int64)
+        for at, waiting in self.open.items():
+            counts[at] = len(waiting)
+        return counts
+
     def add(self, doc_id, ids: bytes) -> None:
         n = len(ids) // 4
         whole = n - n % self.window
@@ -50,17 +58,21 @@ class Packer:
         """An open window of a fill level; level 0 is a new one."""
         if not at:
             return []
-        self.level[at] -= 1
         self.n_open -= 1
-        return self.open[at].pop()
+        waiting = self.open[at]
+        pieces = waiting.pop()
+        if not waiting:
+            del self.open[at]
+        return pieces
 
     def _place(self, piece: Piece, size: int) -> None:
-        w, level = self.window, self.level
-        if self.n_open >= self.max_open:
-            # Closing a window of level l by cutting the document takes 2 * level[l] - 1 off the sum.
-            closable = level[w - size : w] if size < w else level[1:w]
-            if closable.any():
-                at = w - len(closable) + int(np.argmax(closable))
+        w, opened = self.window, self.open
+        full = self.n_open >= self.max_open
+        if full:
+            # Closing one of n windows of a level by cutting the document takes 2 * n - 1 off the sum.
+            closable = [(-len(waiting), at) for at, waiting in opened.items() if at + size >= w]
+            if closable:
+                at = min(closable)[1]
                 cut = w - at
                 doc_id, start, ids, n = piece
                 pieces = self._take(at)
@@ -69,23 +81,19 @@ class Packer:
                 if cut < size:
                     self._place((doc_id, start + cut, ids[4 * cut :], n), size - cut)
                 return
-        # Growth of the sum of squares for each level that has room; level 0 is a new window.
-        old = level[: w - size + 1]
-        new = level[size:]
-        cost = 2 * new + 1
-        cost[-1] = 0
-        cost[1:] += 1 - 2 * old[1:]
-        cost[1:][old[1:] == 0] = np.iinfo(np.int64).max
-        if self.n_open >= self.max_open:
-            cost[0] = np.iinfo(np.int64).max
-        at = len(cost) - 1 - int(np.argmin(cost[::-1]))
+        # Growth of the sum of squares for each level that has room; level 0 is a new window. Of equal ones the fullest.
+        costs = [] if full else [(2 * len(opened.get(size, ())) + 1, 0)]
+        for at, waiting in opened.items():
+            to = at + size
+            if to <= w:
+                costs.append(((2 * len(opened.get(to, ())) + 1 if to < w else 0) + 1 - 2 * len(waiting), -at))
+        at = -min(costs)[1]
         pieces = self._take(at)
         pieces.append(piece)
         if at + size == w:
             self.done(pieces, False)
             return
-        self.open.setdefault(at + size, []).append(pieces)
-        level[at + size] += 1
+        opened.setdefault(at + size, []).append(pieces)
         self.n_open += 1
 
     def finish(self) -> None:
@@ -93,7 +101,6 @@ class Packer:
         w, current, fill = self.window, [], 0
         waiting = [p for at in sorted(self.open, reverse=True) for pieces in self.open[at] for p in pieces]
         self.open, self.n_open = {}, 0
-        self.level[:] = 0
         for doc_id, start, ids, n in waiting:
             while ids:
                 take = min(len(ids) // 4, w - fill)

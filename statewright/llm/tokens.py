@@ -72,8 +72,10 @@ class Encoder:
         digits = "[0-9]+" if spaces else "[0-9]"
         self.pieces = re.compile(rf"{SUFFIXES}|{lead}[{case}{LATIN}]+|{lead}{digits}|{lead}[^ {case}0-9{LATIN}]+")
         self.words = _Generations(self._word, limit)
-        # A single word after a space is kept here alone, so this cache may hold what two would.
-        self.after_space = _Generations(self._unit, 2 * limit if spaces else limit)
+        self.lettered = re.compile(rf"[A-Za-z{LATIN}]+").fullmatch
+        # A single word after a space is kept here alone, so this cache may hold what two would. Without spaces it
+        # also holds the pieces of its units, and `words` stays empty.
+        self.after_space = _Generations(self._unit if spaces else self._bare, 2 * limit)
         self.at_start = _Generations(self._first, limit // 4)
 
     def _ids(self, text: str) -> bytes:
@@ -88,12 +90,24 @@ class Encoder:
 
     def _whole(self, unit: str) -> bytes:
         if self.plain.fullmatch(unit) and not self.marked(unit):
-            return b"".join(map(self.words.__getitem__, self.pieces.findall(unit if self.spaces else unit.lower())))
+            return b"".join(map(self.words.__getitem__, self.pieces.findall(unit)))
         return self._ids(unit)
 
+    def _bare(self, unit: str) -> bytes:
+        """Ids of what stands between two white spaces, where no pre-token begins with one."""
+        if not unit:
+            return b""
+        if self.marked(unit):
+            return self._ids(unit)
+        if self.lettered(unit):
+            word = unit.lower()
+            return self._word(word) if word == unit else self.after_space[word]
+        if not self.plain.fullmatch(unit):
+            return self._ids(unit)
+        pieces = self.pieces.findall(unit.lower())
+        return self._word(pieces[0]) if len(pieces) == 1 else b"".join(map(self.after_space.__getitem__, pieces))
+
     def _unit(self, unit: str) -> bytes:
-        if not self.spaces:
-            return self._whole(unit) if unit else b""
         spaced = " " + unit
         if not self.plain.fullmatch(spaced) or self.marked(unit):
             if not unit or unit[0].isspace():

@@ -241,6 +241,26 @@ def test_a_word_after_a_space_is_kept_once():
     assert set(codes.after_space) == {"one", "two", "three", "one,", "two."} and not set(codes.words) & {" one", " two", " three"}
 
 
+def test_a_word_between_spaces_is_kept_once():
+    from statewright.llm.tokens import Encoder
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary("word_bpe_49k.json")
+    codes, plain = Encoder(path, spaces=False), Tokenizer.from_file(path)
+    for text in ["so One two (three) TWO, 'tis 'one won't É l'Été été 12 v12 two's", "a <|endoftext|> b<|endoftext|>, C", "x  !? -- 'S ' ''s\n\n", "ñ ×÷ ¿qué? Naïve\nnaïve ß İx\ty", "", " "]:
+        assert codes.encode(text) == np.array(plain.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), text
+    codes = Encoder(path, spaces=False)
+    codes.encode("so one Two THREE two one, été")
+    assert set(codes.after_space) == {"so", "one", "Two", "two", "THREE", "three", "one,", ",", "été"} and not codes.words
+
+
+def test_packer_keeps_only_levels_that_have_windows():
+    p = pack_ss.Packer(4096, lambda pieces, poured: None, max_open=8)
+    for i, n in enumerate(np.random.default_rng(6).integers(1, 4096, 3000).tolist()):
+        p.add(i, bytes(4 * n))
+        assert len(p.open) <= p.n_open <= 8 and all(p.open.values())
+
+
 def test_token_shards(spark, documents, texts, odd, empty):
     from tokenizers import Tokenizer
 
